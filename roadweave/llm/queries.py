@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import benchmark_leaks
+from .mixing import mix_to_targets
 from .ngram_join import ngram_jaccard_groups
+from .suffix_dedup import repeated_spans
 from .tables import read
 
 
@@ -14,6 +17,21 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(read(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_source_mix": op2_source_mix,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
+    "op7_repeated_spans": op7_repeated_spans,
 }
