@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_leaks
 from .mixing import mix_to_targets
 from .ngram_join import ngram_jaccard_groups
 from .suffix_dedup import repeated_spans
+from .toxicity import fit, score_toxicity
 from .tables import read
 
 
@@ -21,6 +23,13 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit(docs, read(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -32,6 +41,7 @@ def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mix": op2_source_mix,
+    "op5_toxicity": op5_toxicity,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_repeated_spans": op7_repeated_spans,
 }
