@@ -48,7 +48,7 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read(spark, sf_dir, "documents"))
+    return repeated_spans(read(spark, sf_dir, "documents")).select("doc_id", "first_word", "n_words", F.explode("first_doc_ids").alias("first_doc_id"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _side(df: DataFrame, limit: int = BROADCAST_DOCS) -> DataFrame:
 
 
 def repeated_words(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
-    """Return (doc_id, word, n, first_doc_id): the n windows from ``word`` on of doc_id that also occur in first_doc_id, a smaller id."""
+    """Return (doc_id, word, n, firsts): the n windows from ``word`` on of doc_id also occur in smaller ids; firsts has the smallest for each of them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     rows = stored(docs.mapInArrow(_retained(length, gram), "doc_id long, key long, reach long, word int, n int"), "suffixes")
     reaches = rows.groupBy("key", "reach").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -139,7 +139,6 @@ def repeated_words(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFra
     mixed = F.expr("before is not null or after is not null")
     reaches = reaches.withColumn("mixed", mixed).where("lo <> hi or mixed").select("key", "reach", "lo", "mixed")
     hits = stored(rows.join(stored(reaches, "reaches"), ["key", "reach"]).where("doc_id > lo or mixed").drop("key"), "hits")
-    again = hits.where("doc_id > lo").select("doc_id", "word", "n", F.col("lo").alias("first_doc_id"))
     # suffixes that differ from a neighbour in reach: their windows, each distinct reach once
     places = hits.where("mixed and doc_id = lo")
     wants = places.groupBy("reach").agg(F.min("doc_id").alias("_id"), F.min("word").alias("word"), F.max("n").alias("n"))
@@ -149,7 +148,11 @@ def repeated_words(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFra
     windows = stored(texts.mapInArrow(_windows(length), "reach long, at int, window long, doc_id long").distinct(), "windows")
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id <> last").drop("last")
     earlier = windows.join(firsts, "window").where("first_doc_id < doc_id").groupBy("reach", "at").agg(F.min("first_doc_id").alias("first_doc_id"))
-    single = places.join(earlier, "reach").select("doc_id", (F.col("word") + F.col("at")).cast("int").alias("word"), F.lit(1).alias("n"), "first_doc_id")
+    earlier = stored(earlier, "earlier")
+    single = places.join(earlier, "reach").select("doc_id", (F.col("word") + F.col("at")).cast("int").alias("word"), F.lit(1).alias("n"), F.array("first_doc_id").alias("firsts"))
+    sooner = earlier.groupBy("reach").agg(F.collect_set("first_doc_id").alias("ids"), F.count("*").cast("int").alias("c"))
+    own = F.when(F.coalesce("c", F.lit(0)) < F.col("n"), F.array("lo")).otherwise(F.array().cast("array<long>"))
+    again = hits.where("doc_id > lo").join(sooner, "reach", "left").select("doc_id", "word", "n", F.concat(F.coalesce("ids", F.array().cast("array<long>")), own).alias("firsts"))
     return again.unionByName(single)
 
 
@@ -158,17 +161,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFra
 
     A word belongs to a span when a ``length``-word window around it (words of
     ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case) occurs in a document with a smaller doc_id;
-    first_doc_ids lists those found. So the smallest doc_id keeps each passage. Texts under
+    first_doc_ids lists the smallest for each window. So the smallest doc_id keeps each passage. Texts under
     ``length`` words, null and empty ones have no span; rows without doc_id are left out;
     rows of one doc_id are one document and never repeat each other; an empty table gives
     an empty result and extra columns are ignored.
     """
-    hits = repeated_words(docs, length, gram).groupBy("doc_id", "word", "n").agg(F.min("first_doc_id").alias("first_doc_id"))
+    hits = repeated_words(docs, length, gram)
     own = Window.partitionBy("doc_id").orderBy("word", "n")
     reach = F.max(F.col("word") + F.col("n") + F.lit(length - 1)).over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = hits.withColumn("new", F.when(F.col("word") <= reach, 0).otherwise(1))
     marked = marked.withColumn("span", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = marked.groupBy("doc_id", "span").agg(F.min("word").alias("first_word"), F.max(F.col("word") + F.col("n") + F.lit(length - 1)).alias("end"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    spans = marked.groupBy("doc_id", "span").agg(F.min("word").alias("first_word"), F.max(F.col("word") + F.col("n") + F.lit(length - 1)).alias("end"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("firsts")))).alias("first_doc_ids"))
     return spans.select("doc_id", F.col("first_word").cast("long").alias("first_word"), (F.col("end") - F.col("first_word")).cast("long").alias("n_words"), "first_doc_ids")
 
 
