@@ -1,0 +1,174 @@
+"""The two programs: one continuous route, and balanced days from a depot."""
+
+from __future__ import annotations
+
+import time
+from dataclasses import dataclass, field
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..checkpoints import checkpointed
+from ..config import MILES_PER_M, PlannerConfig
+from ..operators import graph as g
+from ..operators.chains import chain_sections
+from ..operators.sections import fill_speeds, to_survey
+from ..operators.spatial import depot_nearest, merge_endpoints, nearest_way_speed
+from ..sinks import gpx, html, project, report
+from ..sources.network import Fetcher, network_ways
+from .days import day_table, plan_groups
+from .visits import token_lines, visits
+from .walk import Chain, Network, walk
+
+LEGS = "day int, leg_no int, chain_id long, flipped boolean, dh_m double, dh_s double, survey_m double, survey_s double, is_jump boolean, is_wrong_way boolean, name string, dist_m double, time_s double, start_index int"
+
+
+@dataclass
+class PlanResult:
+    sections: DataFrame
+    chains: DataFrame
+    parts: DataFrame
+    legs: DataFrame
+    visits: DataFrame
+    routes: list[list[tuple[float, float]]]
+    totals: dict
+    days: DataFrame | None = None
+    assignment: DataFrame | None = None
+    filler: list[int] = field(default_factory=list)
+    report: str = ""
+
+
+def _prepared(spark, sections, honour_scheduled, cache, fetch, depot, config):
+    """(all sections snapped and with speeds, those to survey, ways or None)."""
+    sections = checkpointed(merge_endpoints(sections, config.merge_tolerance_m))
+    todo = to_survey(sections, honour_scheduled)
+    if todo.limit(1).count() == 0:
+        raise ValueError("nothing is left to survey")
+    ways = None
+    if cache is not None or fetch is not None:
+        points = sections.select(F.explode("coords").alias("p"))
+        if depot:
+            points = points.unionByName(spark.createDataFrame([((float(depot[0]), float(depot[1])),)], "p struct<lat: double, lon: double>"))
+        ways = checkpointed(network_ways(points, cache, fetch, config))
+        if ways.limit(1).count() == 0:
+            raise ValueError("no roads were found around the sections")
+        sections = checkpointed(fill_speeds(sections, nearest_way_speed(sections.where("coalesce(speed_limit, 0) = 0"), ways, config).select("section_id", "speed_kmh")))
+        todo = to_survey(sections, honour_scheduled)
+    return sections, todo, ways
+
+
+def _network(nodes, edges, chains, depot, config) -> tuple[Network, dict[int, list], dict[int, str]]:
+    """What the walk needs, with the chains' geometries and names: one row a chain, and nodes of a graph that is broadcast."""
+    csr = g.to_csr(nodes, edges, config)
+    at = [(r["lat"], r["lon"]) for r in nodes.select("node_id", "lat", "lon").orderBy("node_id").toLocalIterator()]
+    number = {p: i for i, p in enumerate(at)}
+    own, lines, names = {}, {}, {}
+    for r in chains.orderBy("chain_id").toLocalIterator():
+        line = [(p["lat"], p["lon"]) for p in r["coords"]]
+        middle = (sum(p[0] for p in line) / len(line), sum(p[1] for p in line) / len(line))
+        own[r["chain_id"]] = Chain(r["chain_id"], number[line[0]], number[line[-1]], r["length_m"], r["time_s"], r["oneway"], middle)
+        lines[r["chain_id"]], names[r["chain_id"]] = line, r["name"]
+    return Network(csr, at, own, number.get(depot) if depot else None, config), lines, names
+
+
+def _drawn(net: Network, lines: dict, legs: list[dict], back: list[int] = ()) -> tuple[list, list[int], list[list]]:
+    """(route points, start index of every leg, transfer paths)."""
+    route, starts, paths = [], [], []
+    for leg in legs:
+        starts.append(max(0, len(route) - 1))
+        path = [net.at[n] for n in leg["path"]]
+        paths.append(path)
+        for piece in (path, lines[leg["chain_id"]][:: -1 if leg["flipped"] else 1]):
+            route += piece[1:] if route and piece and route[-1] == piece[0] else piece
+    return route + [net.at[n] for n in back[1:]], starts, paths
+
+
+def _leg_rows(net: Network, names: dict, day: int, legs: list[dict], starts: list[int]) -> list[tuple]:
+    rows = []
+    for i, leg in enumerate(legs):
+        c = net.chains[leg["chain_id"]]
+        rows.append((day, i, leg["chain_id"], leg["flipped"], float(leg["dh_m"]), float(leg["dh_s"]), c.length_m, c.time_s, bool(leg["is_jump"]), bool(leg["is_wrong_way"]), names[leg["chain_id"]], float(leg["dh_m"]) + c.length_m, float(leg["dh_s"]) + c.time_s, starts[i]))
+    return rows
+
+
+def _sums(legs: list[tuple]) -> dict:
+    keys = {"survey_m": 6, "survey_s": 7, "deadhead_m": 4, "deadhead_s": 5, "jumps": 8, "wrong_way": 9}
+    return {k: sum(leg[i] for leg in legs) for k, i in keys.items()}
+
+
+def _waypoints(net: Network, rows: list[tuple]) -> list[dict]:
+    entry = lambda r: net.at[net.chains[r[2]].last if r[3] else net.chains[r[2]].first]
+    return [{"name": r[10], "dist_m": r[11], "time_s": r[12], "lat": entry(r)[0], "lon": entry(r)[1]} for r in rows]
+
+
+def plan_route(spark: SparkSession, sections: DataFrame, start: tuple[float, float] | None = None, cache: DataFrame | None = None, fetch: Fetcher | None = None, out_dir: str | None = None, config: PlannerConfig = PlannerConfig()) -> PlanResult:
+    """One continuous route over all sections that are not collected; files go to ``out_dir`` if given."""
+    sections, todo, ways = _prepared(spark, sections, False, cache, fetch, None, config)
+    collected = sections.where("collected")
+    chains, parts = chain_sections(todo, config)
+    chains = checkpointed(chains)
+    nodes, edges = g.build_graph(parts, sections, collected, chains, ways, config=config)
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    net, lines, names = _network(nodes, edges, chains, None, config)
+    begin = depot_nearest(start, nodes).first()["node_id"] if start else None
+    solved = walk(net, sorted(net.chains), begin)
+    route, starts, paths = _drawn(net, lines, solved)
+    rows = _leg_rows(net, names, 1, solved, starts)
+    legs = spark.createDataFrame(rows, LEGS)
+    visited = visits(legs, parts, sections, config)
+    totals = _sums(rows)
+    if out_dir:
+        done = [[(p["lat"], p["lon"]) for p in r["coords"]] for r in collected.select("coords").toLocalIterator()]
+        out = Path(out_dir)
+        out.mkdir(parents=True, exist_ok=True)
+        (out / "route.gpx").write_text(gpx.gpx_text(route, _waypoints(net, rows), totals))
+        (out / "route.html").write_text(html.route_page(route, _waypoints(net, rows), totals, done))
+        (out / "route.mpz").write_bytes(project.visits_project(visited, sections, {(1, i): p for i, p in enumerate(paths)}, "Route", time.time()))
+    return PlanResult(sections, chains, parts, legs, visited, [route], totals)
+
+
+def plan_days(spark: SparkSession, sections: DataFrame, depot: tuple[float, float], days: int | None = None, lock: int | None = None, min_miles: float | None = None, cache: DataFrame | None = None, fetch: Fetcher | None = None, out_dir: str | None = None, config: PlannerConfig = PlannerConfig()) -> PlanResult:
+    """Balanced days from the depot and back over sections neither collected nor scheduled; ``lock`` marks one day's sections as scheduled."""
+    depot = (round(depot[0], 6), round(depot[1], 6))
+    sections, todo, ways = _prepared(spark, sections, True, cache, fetch, depot, config)
+    chains, parts = chain_sections(todo, config)
+    chains = checkpointed(chains)
+    others = sections.where("collected or scheduled")
+    nodes, edges = g.build_graph(parts, sections, others, chains, ways, depot, config)
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    net, lines, names = _network(nodes, edges, chains, depot, config)
+    survey_m = sum(c.length_m for c in net.chains.values())
+    solved, filler = plan_groups(spark, chains, depot, survey_m, spark.sparkContext.broadcast(net), days)
+    rows, routes, transfers, day_of = [], [], {}, []
+    for i, d in enumerate(solved, 1):
+        route, starts, paths = _drawn(net, lines, d["legs"], d["return_path"])
+        rows += _leg_rows(net, names, i, d["legs"], starts)
+        routes.append(route)
+        transfers |= {(i, k): p for k, p in enumerate(paths)}
+        day_of += [(int(c), i) for c in d["members"]]
+    legs = spark.createDataFrame(rows, LEGS)
+    visited = visits(legs, parts, sections, config)
+    assignment = parts.join(spark.createDataFrame(day_of, "chain_id long, day int"), "chain_id").select("section_id", "chain_id", "day")
+    if lock is not None and not 1 <= lock <= len(solved):
+        raise ValueError(f"there is no day {lock}")
+    table = day_table(spark, solved)
+    tokens: dict[int, list[str]] = {}
+    for r in token_lines(visited.join(sections.select("section_id", "collid", "name"), "section_id")).orderBy("day", "line_no").toLocalIterator():
+        tokens.setdefault(r["day"], []).append(r["line"])
+    left = (len(filler), sum(net.chains[c].length_m for c in filler) * MILES_PER_M)
+    text = report.plan_report([r.asDict() for r in table.orderBy("day").collect()], tokens, config.shift_hours, min_miles, left)
+    result = PlanResult(sections, chains, parts, legs, visited, routes, _sums(rows), table, assignment, filler, text)
+    if out_dir:
+        out = Path(out_dir)
+        out.mkdir(parents=True, exist_ok=True)
+        for i, route in enumerate(routes, 1):
+            own = [r for r in rows if r[0] == i]
+            (out / f"day_{i}.gpx").write_text(gpx.gpx_text(route, _waypoints(net, own), _sums(own)))
+            (out / f"day_{i}.mpz").write_bytes(project.visits_project(visited.where(F.col("day") == i), sections, transfers, f"Day {i}", time.time()))
+        (out / "plan.html").write_text(html.plan_page(routes, depot, [lines[c] for c in filler]))
+        (out / "plan.txt").write_text(text)
+        (out / "plan_state.mpz").write_bytes(project.sections_project(sections, assignment, "Plan", time.time()))
+        if lock is not None:
+            (out / "remaining_segments.mpz").write_bytes(project.sections_project(sections, assignment.where(F.col("day") == lock), "Remaining", time.time()))
+    return result
