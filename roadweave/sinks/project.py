@@ -28,15 +28,36 @@ SCHEMA = {
     "t_property": "id INTEGER PRIMARY KEY, feature_class_id INTEGER, order_idx INTEGER, name TEXT, type INTEGER, value_type INTEGER, options TEXT, insert_date Double, update_date Double",
     "t_property_lkp": "item_id INTEGER, property_id INTEGER, value BLOB, PRIMARY KEY (item_id, property_id)",
     "t_feature_style_lkp": "item_id INTEGER, style INTEGER, value TEXT, PRIMARY KEY (item_id, style)",
+    "t_tiled_map": "item_id INTEGER PRIMARY KEY, zorder INTEGER, type INTEGER, version TEXT, min_zoom INTEGER, max_zoom INTEGER, url TEXT, invert_y INTEGER, server_parts TEXT, script TEXT, background_color INTEGER, x_offset INTEGER, y_offset INTEGER, scale Float, alpha Float, rotation Float, valid_duration INTEGER, tile_type TEXT, tile_conversion INTEGER, coordinate_type INTEGER, zoom_delta INTEGER, bounding BLOB",
+    "t_tiled_map_download_info": "item_id INTEGER PRIMARY KEY, zooms TEXT, shape_type INTEGER, shape_data BLOB, shape_coord_type INTEGER, status INTEGER",
+    "t_image": "id INTEGER PRIMARY KEY, mp_id TEXT, type INTEGER, width INTEGER, height INTEGER, color INTEGER, scale Float, file_type TEXT, key TEXT, hotspot_x Float, hotspot_y Float, hotspot_xunits INTEGER, hotspot_yunits INTEGER, markup BLOB, reference_id INTEGER, sha1 TEXT, insert_date Double, update_date Double",
+    "t_file": "id INTEGER PRIMARY KEY, mp_id TEXT, type INTEGER, name TEXT, extension TEXT, sha1 TEXT, insert_date Double, update_date Double",
+    "t_text_overlay": "item_id INTEGER PRIMARY KEY, box_type INTEGER, ctype INTEGER, text_bounding BLOB, text_rotation Double DEFAULT 0.0, text_scale Double DEFAULT 1.0, text_color INTEGER, halo_color INTEGER, fill_color INTEGER, line_color INTEGER, line_width Double, target_lat Double, target_lng Double",
+    "t_recent": "content TEXT, type INTEGER, update_date Double",
     "t_tag": "id INTEGER PRIMARY KEY, tag TEXT, order_idx INTEGER, insert_date Double, update_date Double",
     "t_tag_lkp": "item_id INTEGER, tag_id INTEGER, order_idx INTEGER, PRIMARY KEY (item_id, tag_id)",
     "t_link": "id INTEGER PRIMARY KEY, type INTEGER, from_item_id INTEGER, to_item_id INTEGER",
     "t_version": "version TEXT, previous TEXT, update_date Double",
     "t_metadata": "name TEXT PRIMARY KEY, value TEXT, update_date Double",
 }
-#: Line colours of surveyed pieces and transfers (fixed values of the format's packed colours).
-SEGMENT_LINE, TRANSFER_LINE = (1677753087, 3.0), (1684300900, 2.0)
-FEATURE_CLASS, FIRST_PROPERTY = 1, 2
+#: Line colour, width and fill of surveyed pieces and of transfers (fixed values of the format's packed colours).
+SEGMENT_LINE, TRANSFER_LINE = (1677753087, 3.0, 838892287), (1684300900, 2.0, 845440100)
+#: Ids of the feature class and of the built-in route name, rule and collection properties, and item types (fixed values).
+FEATURE_CLASS, ROUTE_NAME, RULE, SETTINGS = 10_001, 2, 600, {700: 0, 701: 25, 702: 0}
+CLASS_TYPE, RULE_TYPE, COLLECTION_TYPE, LINE_TYPE = 2001, 2002, 70, 3
+#: Style of the class: colour, width, label and flags by style number (fixed values).
+CLASS_STYLE = {211: "1694433535", 213: "6", 220: "1", 221: "[CollId]", 234: "1"}
+#: Display rules: name, condition, style (fixed values).
+RULES = (
+    ("Direction I", '[Dir]=="I"', {211: "1694433280"}),
+    ("Pilot", '[IsPilot].beginswith("Y")', {211: "1677721855"}),
+    ("Pilot Direction I", '[Dir]=="I"&&[IsPilot].beginswith("Y")', {211: "1694498560"}),
+    ("Deadhead", '[RouteName]=="Deadhead"', {210: "2", 211: "1684300900", 212: "0.5"}),
+    ("Scheduled", '[Scheduled].beginswith("Y")', {210: "2", 211: "1679834990", 212: "0.5", 234: "0"}),
+    ("Collected", '[Collected].beginswith("Y")', {210: "2", 211: "1677721600", 212: "0.2972973", 220: "0", 234: "0"}),
+)
+#: Values that a property offers (fixed).
+CHOICES = {"Collected": "Yes|No|", "Scheduled": "Yes|No|"}
 
 
 def state_of(sections: DataFrame, days: DataFrame) -> DataFrame:
@@ -56,34 +77,47 @@ class Project:
     """A project's database under construction; ``stamp`` is the time of all rows and ``prefix`` begins their ids."""
 
     def __init__(self, title: str, stamp: float = 0.0, prefix: str = "RP"):
-        self.stamp, self.prefix, self.next = stamp, prefix, 100
+        self.stamp, self.prefix = stamp, prefix
         self.database = sqlite3.connect(":memory:")
         for table, columns in SCHEMA.items():
             self.database.execute(f"create table {table} ({columns})")
-        self._item(FEATURE_CLASS, title, 20, None)
-        self.property = {}
-        for i, (name, kind) in enumerate(PROPERTIES):
-            self.property[name] = FIRST_PROPERTY + i
-            self.database.execute("insert into t_property values (?, ?, ?, ?, 1, ?, null, ?, ?)", (FIRST_PROPERTY + i, FEATURE_CLASS, i, name, kind, stamp, stamp))
+        self._item(FEATURE_CLASS, 1, 1, CLASS_TYPE, title, subtype=2)
+        self._styles(FEATURE_CLASS, CLASS_STYLE)
+        self.property = {name: 10_001 + i for i, (name, _) in enumerate(PROPERTIES)}
+        for i, (name, kind) in enumerate(PROPERTIES, 1):
+            self.database.execute("insert into t_property values (?, ?, ?, ?, 2, ?, ?, ?, ?)", (self.property[name], FEATURE_CLASS, i, name, kind, CHOICES.get(name), stamp, stamp))
+        self._values(FEATURE_CLASS, dict.fromkeys([ROUTE_NAME, *self.property.values()]))
+        for i, (name, rule, style) in enumerate(RULES, 1):
+            self._item(FEATURE_CLASS + i, FEATURE_CLASS, i, RULE_TYPE, name)
+            self._values(FEATURE_CLASS + i, {RULE: rule.encode()})
+            self._styles(FEATURE_CLASS + i, style)
+        self.collection = self.last = FEATURE_CLASS + len(RULES) + 1
+        self._item(self.collection, 1, 2, COLLECTION_TYPE, title, feature_class_id=FEATURE_CLASS, show_on_map=1, display_mode=0, subtype=2)
+        self._values(self.collection, {k: v.to_bytes(4, "little") for k, v in SETTINGS.items()})
         self.database.execute("insert into t_version values ('1', '', ?)", (stamp,))
 
-    def _item(self, item: int, name: str, kind: int, order: int | None, note: str = ""):
-        self.database.execute(
-            "insert into t_item (id, guid, parent_id, order_idx, type, name, description, feature_class_id, insert_date, update_date) values (?, ?, 0, ?, ?, ?, ?, ?, ?, ?)",
-            (item, f"{self.prefix}L{item}", order, kind, name, note, FEATURE_CLASS, self.stamp, self.stamp),
-        )
+    def _item(self, item: int, parent: int, order: int, kind: int, name: str, **more):
+        row = {"id": item, "guid": f"{self.prefix}L{item}", "parent_id": parent, "order_idx": order, "type": kind, "name": name, "remind_distance": 0, "insert_date": self.stamp, "update_date": self.stamp} | more
+        self.database.execute(f"insert into t_item ({', '.join(row)}) values ({', '.join('?' * len(row))})", tuple(row.values()))
 
-    def add_line(self, name: str, line, values: dict[str, str], note: str = "", look: tuple[int, float] = SEGMENT_LINE) -> int:
-        item = self.next
-        self.next += 1
-        self._item(item, name, 3, item - 100, note)
-        self.database.execute("insert into t_shape (item_id, coordinates, coord_dimension, coord_type, line_color, line_width) values (?, ?, 2, 0, ?, ?)", (item, encode(line), *look))
-        self.database.executemany("insert into t_property_lkp values (?, ?, ?)", [(item, self.property[k], str(v).encode()) for k, v in values.items() if v is not None])
-        return item
+    def _values(self, item: int, values: dict[int, bytes | None]):
+        self.database.executemany("insert into t_property_lkp values (?, ?, ?)", [(item, k, v) for k, v in values.items()])
+
+    def _styles(self, item: int, style: dict[int, str]):
+        self.database.executemany("insert into t_feature_style_lkp values (?, ?, ?)", [(item, k, v) for k, v in style.items()])
+
+    def add_line(self, name: str, line, values: dict[str, str], note: str = "", look: tuple[int, float, int] = SEGMENT_LINE) -> int:
+        """A feature in drawing order; the route name is also written under its built-in id."""
+        self.last += 1
+        self._item(self.last, self.collection, self.last - self.collection, LINE_TYPE, name, description=note, feature_class_id=FEATURE_CLASS, display_mode=1)
+        self.database.execute("insert into t_shape values (?, ?, 1, 0, ?, ?, ?, 0)", (self.last, encode(line), *look))
+        text = {k: None if v is None else str(v).encode() for k, v in values.items()}
+        self._values(self.last, {ROUTE_NAME: text.get("RouteName")} | {self.property[k]: v for k, v in text.items() if v is not None})
+        return self.last
 
     def content(self) -> bytes:
         """The zip file."""
-        self.database.execute("insert into t_sequence values (1, ?)", (self.next,))
+        self.database.execute("insert into t_sequence values (1, ?)", (self.last + 1,))
         self.database.commit()
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
