@@ -3,7 +3,8 @@
 Tokens are words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` (A-Z in lower case) and, for words
 that are longer, their first four to eight bytes. Training counts in how many toxic and
 other labelled texts each token stands; its score is the log-odds ratio under a Dirichlet
-prior, and it is kept where a likelihood-ratio test, stricter the more tokens there are, is significant. A
+prior, and it is kept where the odds differ by EFFECT at least and a likelihood-ratio test, stricter the more tokens
+there are, is significant. A
 word scores by the longest of its tokens that is kept, and slightly negative without
 one. One linear scan finds all maximal-scoring segments of a text. Segment scores become
 p-values by the extreme-value law fitted to clean texts, and a text's summed evidence
@@ -30,6 +31,8 @@ DRIFT = -0.5
 PREFIXES = (4, 5, 6, 7, 8)
 #: A token is kept from a likelihood ratio of this times the logarithm of the number of tokens.
 SIGNIFICANCE = 1.4
+#: Smallest log-odds (either way) of a kept token; over many texts the slightest difference is significant.
+EFFECT = 1.0
 #: Scores of single tokens are held within these bounds, so that no one rare token decides.
 LOWEST, HIGHEST = -3.0, 7.0
 
@@ -107,7 +110,7 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIF
 
     Ruzzo and Tompa's scan: candidates (left sum, right sum) wait on a stack; a new one joins those whose left sum is lower and right sum not higher.
     """
-    stack: list[tuple[int, int, float, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # the last has the nearest candidate below of a lower left sum
     total, last = 0.0, -1
     for place, score in zip(places.tolist(), scores.tolist(), strict=True):
         total += drift * (place - last - 1)
@@ -120,13 +123,13 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIF
         while True:
             at = len(stack) - 1
             while at >= 0 and stack[at][2] >= left:
-                at -= 1
+                at = stack[at][4]
             if at < 0 or stack[at][3] >= right:
-                stack.append((first, place, left, right))
+                stack.append((first, place, left, right, at))
                 break
             first, left = stack[at][0], stack[at][2]
             del stack[at:]
-    return [(a, b, right - left) for a, b, left, right in stack]
+    return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
 def _row_segments(scan: Scan, model: Model):
@@ -223,13 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, limits: FitLimits | None = None, hel
     with_it, t, c = F.col("t") + F.col("c"), F.col("t"), F.col("c")
     without = F.lit(rows) - with_it
     g2 = 2 * (cell(t, with_it, toxic) + cell(c, with_it, clean) + cell(toxic - t, without, toxic) + cell(clean - c, without, clean))
-    kept = counts.where("t + c > 1").withColumn("g2", g2).where(F.col("g2") >= SIGNIFICANCE * math.log(max(vocabulary, 2)))
+    prior = 0.5 + 10 * with_it / rows
+    odds = F.log((t + prior) / (toxic - t + prior)) - F.log((c + prior) / (clean - c + prior))
+    kept = counts.where("t + c > 1").withColumns({"g2": g2, "odds": odds})
+    kept = kept.where((F.col("g2") >= SIGNIFICANCE * math.log(max(vocabulary, 2))) & (F.abs("odds") >= EFFECT))
     kept = kept.orderBy(F.desc("g2"), "token").limit(limits.tokens).toPandas()
     if not len(kept):
         return Model(offset=math.log(toxic / clean))
-    t, c = kept["t"].to_numpy(float), kept["c"].to_numpy(float)
-    prior = 0.5 + 10 * (t + c) / rows
-    odds = np.log((t + prior) / (toxic - t + prior)) - np.log((c + prior) / (clean - c + prior))
+    c, odds = kept["c"].to_numpy(float), kept["odds"].to_numpy(float)
     keys = kept["token"].to_numpy(np.int64).view(U64)
     order = np.argsort(keys)
     model = Model(keys[order], np.clip(odds, LOWEST, HIGHEST)[order])
