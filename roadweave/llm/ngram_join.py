@@ -10,10 +10,13 @@ next band. A set emits only as many groups as its own size can need, plus ``spar
 then signatures over empty partitions are needed only where more than ``spare`` groups
 have one, which keeps unrelated sets from meeting in "both are empty".
 
-Every pair at the threshold shares a signature (no recall loss); shared signatures are
-verified on the texts. Copies of one set are one class. First each member of a signature
-is compared with the signature's smallest class; only classes that those links leave in
-different components meet each other, so large groups of near copies make few pairs.
+Every pair at the threshold shares a signature (no recall loss). Copies of one set are
+one class. Within a signature classes are compared by parity sketches, whose differing
+bits never outnumber the sets' differing shingles, and each is tied to the smallest class
+that it may reach; the components of these ties hold every link. Each component's texts
+then meet in blocks of bounded size, where exact Hamming distances are popcounts of a
+bit matrix, and again only ties to a smallest class leave the block. So no pairs of a
+group are ever emitted, and no group is held by one task.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from .tables import slices, stored
 from .words import U64, Scan, mix, shingle_set
 
 #: More documents to be verified than this are found by a shuffled join instead of a broadcast of their ids (8 bytes each).
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
+#: Classes of one signature, and texts of one component, meet in blocks of about so many.
+SIGNATURE_BLOCK, TEXT_BLOCK = 1000, 300
 _ODD = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 
 
@@ -95,16 +100,62 @@ class PartEnum:
             out.append(sigs[full] if (~full.all(1)).sum() <= self.spare else sigs.ravel())
         return np.concatenate(out)
 
+    def sketch_bits(self, s: int) -> int:
+        """A power of two, some 32 bits for each shingle that may differ; longer sketches fold to shorter ones."""
+        return 1 << max(6, int(32 * self.distance(self.bands[self.band(self.largest_partner(s)) + 1]) - 1).bit_length())
+
+    def sketch(self, elements: np.ndarray) -> bytes:
+        """Parity of the elements that fall on each bit."""
+        if len(elements) < self.least:
+            return b""
+        self.band(self.largest_partner(len(elements)))
+        size = self.sketch_bits(len(elements))
+        at = (mix(elements ^ _ODD[7]) & U64(size - 1)).astype(np.int64)
+        return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool)).tobytes()
+
+    def apart(self, n: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Whether sets of sizes ``n`` at these (least) distances cannot link."""
+        pair = n[:, None] + n[None, :]
+        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        return (distance > pair * (100 - self.percent) // (100 + self.percent)) | (100 * small < self.percent * large)
+
+
+def fold(sketch: bytes, size: int) -> bytes:
+    """The sketch of ``size`` bytes of the same set."""
+    bits = np.frombuffer(sketch, np.uint8)
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits.tobytes()
+
+
+def distances(rows: np.ndarray, out: np.ndarray) -> None:
+    """Add to ``out`` the pairwise Hamming distances of bit rows (uint64)."""
+    step = max(1, (1 << 22) // max(1, rows.size))
+    for i in range(0, len(rows), step):
+        out[i : i + step] += np.bitwise_count(rows[i : i + step, None, :] ^ rows[None, :, :]).sum(-1, dtype=np.int64)
+
+
+def smallest_reached(linked: np.ndarray) -> np.ndarray:
+    """Of a symmetric link matrix: the smallest index reachable from each."""
+    root = np.arange(len(linked))
+    linked = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        now = np.where(linked, root[None, :], len(root)).min(1)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
 
 def _sets(words: int, scheme: PartEnum):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
                 scan = Scan(data, offs)
                 h, first = scan.hashes(), scan.first
-                n, h1, h2, sigs, ends = [], [], [], [], [0]
+                n, h1, h2, sigs, ends, sketches = [], [], [], [], [0], []
                 for i in range(hi - lo):
                     u = shingle_set(h[first[i] : first[i + 1]], words)
                     sig = scheme.signatures(u)
@@ -112,55 +163,111 @@ def _sets(words: int, scheme: PartEnum):
                     h1.append(mix(u).sum(dtype=U64))
                     h2.append(mix(u ^ _ODD[5]).sum(dtype=U64))
                     sigs.append(sig)
+                    sketches.append(scheme.sketch(u))
                     ends.append(ends[-1] + len(sig))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(sigs))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(signed(np.array(h1, U64))), pa.array(signed(np.array(h2, U64))), lists], schema=schema
+                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(signed(np.array(h1, U64))), pa.array(signed(np.array(h2, U64))), lists, pa.array(sketches, pa.binary())], schema=schema
                 )
 
     return run
 
 
-def _verified(words: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _groups(batches, keys: list[str], columns: list[str]):
+    """Lists of column values of each run of equal keys in sorted rows; a run may cross batches."""
+    last, held = None, [[] for _ in columns]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
+        cuts = np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1
+        values = [batch.column(c).to_pylist() for c in columns]
+        for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            key = tuple(at[lo])
+            if key != last and held[0]:
+                yield held
+                held = [[] for _ in columns]
+            last = key
+            for h, v in zip(held, values, strict=True):
+                h += v[lo:hi]
+    if held[0]:
+        yield held
+
+
+TIES = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+
+def _ties(found: list[tuple[np.ndarray, np.ndarray]]):
+    node, root = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], schema=TIES)
+
+
+def _near(scheme: PartEnum):
+    """Classes of one signature block (sig, bi, bj, h1, n, sketch) that may link: (node, root)."""
 
     def run(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            sides = {}
-            for side, keys in (("text_a", a), ("text_b", b)):
-                found = []
-                for lo, hi, data, offs in slices(batch.column(side)):
-                    scan = Scan(data, offs)
-                    h = scan.hashes()
-                    found += [shingle_set(h[scan.first[i] : scan.first[i + 1]], words) for i in range(hi - lo)]
-                sides[side] = [u if signed(mix(u).sum(dtype=U64, keepdims=True))[0] == k else None for u, k in zip(found, keys, strict=True)]
-            keep = []
-            for x, y in zip(sides["text_a"], sides["text_b"], strict=True):
-                if x is None or y is None:  # another text under the same doc_id
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = np.array(keep, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[mask]), pa.array(b[mask])], schema=schema)
+        found, held = [], 0
+        for h1, n, sketches in _groups(batches, ["sig", "bi", "bj"], ["h1", "n", "sketch"]):
+            if len(h1) < 2:
+                continue
+            order = np.argsort(h1)
+            h1, n = np.array(h1)[order], np.array(n)[order]
+            size = max(8, min(map(len, sketches)))
+            bits = [fold(sketches[i], size) for i in order]
+            apart = np.zeros((len(h1), len(h1)), np.int64)
+            distances(np.frombuffer(b"".join(bits), np.uint64).reshape(len(h1), -1), apart)
+            root = smallest_reached(~scheme.apart(n, apart))
+            tied = np.flatnonzero(root != np.arange(len(h1)))
+            if len(tied):
+                found.append((h1[tied], h1[root[tied]]))
+                held += len(tied)
+            if held >= 20_000:
+                yield _ties(found)
+                found, held = [], 0
+        if found:
+            yield _ties(found)
 
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct class pairs (a, b) whose texts reach the threshold."""
-    pairs = stored(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
-    need = stored(need.join(reps.select("h1", "rep"), "h1"), "need")
-    wanted = need.select(F.col("rep").alias("doc_id"), "h1")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("h1", "text")
-    texts = stored(texts, "texts").distinct()
-    joined = pairs.join(texts.select(F.col("h1").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("h1").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, percent), "a long, b long")
+def _linked(words: int, scheme: PartEnum):
+    """Classes of one block (cluster, bi, bj, h1, text) that links join: (node, root)."""
+
+    def run(batches):
+        for h1, texts in _groups(batches, ["cluster", "bi", "bj"], ["h1", "text"]):
+            kept, sets = [], []
+            for lo, hi, data, offs in slices(pa.array(texts, pa.string())):
+                scan = Scan(data, offs)
+                h = scan.hashes()
+                for i in range(hi - lo):
+                    u = shingle_set(h[scan.first[i] : scan.first[i + 1]], words)
+                    if signed(mix(u).sum(dtype=U64, keepdims=True))[0] == h1[lo + i]:  # else another text under the same doc_id
+                        kept.append(h1[lo + i])
+                        sets.append(u)
+            order = np.argsort(kept)
+            ids, sets = np.array(kept, np.int64)[order], [sets[i] for i in order]
+            n = np.array([len(u) for u in sets], np.int64)
+            vocabulary, at = np.unique(np.concatenate([*sets, np.zeros(0, U64)]), return_inverse=True)
+            row = np.repeat(np.arange(len(sets)), n)
+            apart = np.zeros((len(sets), len(sets)), np.int64)
+            width = 1 << 14
+            for first in range(0, len(vocabulary), width):
+                part = (at >= first) & (at < first + width)
+                bits = np.zeros((len(sets), min(width, -(-(len(vocabulary) - first) // 64) * 64)), bool)
+                bits[row[part], at[part] - first] = True
+                distances(np.packbits(bits, axis=1).view(np.uint64), apart)
+            root = smallest_reached(~scheme.apart(n, apart))
+            yield _ties([(ids, ids[root])])
+
+    return run
+
+
+def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Deal the rows of each key to pairs of blocks of about ``size`` (bi <= bj): any two rows of a key meet, each with its own block's rows too."""
+    blocks = rows.groupBy(key).agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / size).cast("int")).drop("members")
+    own = F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("own", "other")
 
 
 def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, scheme: PartEnum | None = None) -> DataFrame:
@@ -175,36 +282,32 @@ def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, sch
     """
     scheme = scheme or PartEnum(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(docs.mapInArrow(_sets(words, scheme), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "sets")
+    base = stored(docs.mapInArrow(_sets(words, scheme), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sketch binary"), "sets")
     filled = base.where("n > 0")
-    classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("sigs", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("sigs"))
+    reps = stored(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).drop("h2"), "classes")
+    # one row of each class signs
+    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)))
+    classes = filled.where(f"n >= {scheme.least}").groupBy("h1", "h2").agg(F.min_by("sigs", first).alias("sigs"))
     by_sig = Window.partitionBy("sig").orderBy("h1")
-    rows = classes.where(f"n >= {scheme.least}").select("h1", F.explode("sigs").alias("sig"))
-    hits = rows.withColumns({"hub": F.first("h1").over(by_sig), "next": F.lead("h1").over(by_sig)}).where("next is not null or hub <> h1").select("sig", "h1", "hub")
+    rows = classes.select("h1", F.explode("sigs").alias("sig"))
+    hits = rows.withColumns({"before": F.lag("h1").over(by_sig), "next": F.lead("h1").over(by_sig)}).where("next is not null or before is not null").select("sig", "h1")
     hits = stored(hits, "hits")
-    reps = stored(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).drop("h2"), "classes")
-    sized = reps.select("h1", "n")
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-
-    def with_sizes(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sized.select(F.col("h1").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("h1").alias("b"), F.col("n").alias("n_b")), "b")
-        return pairs.where(fits).select("a", "b")
-
-    stars = hits.where("h1 <> hub").select(F.col("hub").alias("a"), F.col("h1").alias("b")).distinct()
-    links = stored(_links(with_sizes(stars), reps, docs, words, percent), "links")
-    # what the stars left apart: in each signature, members outside its largest component meet all of other components
-    label = components(links)
-    left = hits.join(label.withColumnsRenamed({"node": "h1", "root": "label"}), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
-    left = stored(left, "labels")
-    share = left.groupBy("sig", "label").agg(F.count("*").alias("c"))
-    split = share.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    left = left.join(split, "sig").where("h1 <> hub")
-    probes = left.where("label <> main").select("sig", F.col("h1").alias("x"), F.col("label").alias("lx"))
-    rest = probes.join(left.select("sig", F.col("h1").alias("y"), F.col("label").alias("ly"), "main"), "sig").where("lx <> ly and (ly = main or x < y)")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(_links(with_sizes(rest), reps, docs, words, percent), "links")
-    roots = components(links.unionByName(more)).withColumnsRenamed({"node": "h1", "root": "label"})
-    known = reps.join(roots, "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    sketches = filled.join(hits.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    met = _blocked(hits, "sig", SIGNATURE_BLOCK).join(sketches, "h1").repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
+    near = stored(met.select("sig", "bi", "bj", "h1", "n", "sketch").mapInArrow(_near(scheme), "node long, root long").distinct(), "near")
+    clusters = stored(components(near, "node", "root").withColumnsRenamed({"node": "h1", "root": "cluster"}), "clusters")
+    wanted = clusters.join(reps, "h1").select(F.col("rep").alias("doc_id"), "h1")
+    if clusters.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("h1", "text").distinct()
+    met = _blocked(clusters, "cluster", TEXT_BLOCK).join(texts, "h1").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    ties = stored(met.select("cluster", "bi", "bj", "h1", "text").mapInArrow(_linked(words, scheme), "node long, root long").distinct(), "ties")
+    # classes of one block have one root; those of several have one in each of theirs
+    several = ties.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("low", "high")
+    roots = ties.groupBy("node").agg(F.min("root").alias("label"))
+    if several.limit(1).count():
+        roots = components(ties, "node", "root").withColumnRenamed("root", "label")
+    known = reps.join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
     lowest = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = known.select("h1", "label").join(lowest, "label").select("h1", "component_id")
     out = base.select("doc_id", F.col("n").alias("n_shingles"), F.col("h1").alias("class_hash"))
