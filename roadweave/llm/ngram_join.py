@@ -6,9 +6,9 @@ deals the feature domain to ``groups * n2`` partitions: k differences cannot spo
 (more than k2 in) every one of ``k // (k2 + 1) + 1`` groups, so in some group a choice of
 ``n2 - k2`` partitions is equal in both sets and gives both the same signature. Sets of
 one size band share the partitioning; a set near a band's upper end also signs for the
-next band. A set emits only as many groups as its own size can need, plus ``spare``:
-then signatures over empty partitions are needed only where more than ``spare`` groups
-have one, which keeps unrelated sets from meeting in "both are empty".
+next band. A set emits only as many groups as its own size can need, plus spare ones:
+then signatures over empty partitions are needed only where there are more of them than
+spare groups, which keeps unrelated sets from meeting in "both are empty".
 
 Every pair at the threshold shares a signature (no recall loss). Copies of one set are
 one class. Within a signature classes are compared by parity sketches, whose differing
@@ -21,6 +21,7 @@ group are ever emitted, and no group is held by one task.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -46,13 +47,15 @@ def signed(x: np.ndarray) -> np.ndarray:
 class PartEnum:
     """Signature scheme for one threshold; ``percent`` 1 to 99."""
 
-    def __init__(self, percent: int = 90, k2: int = 1, n2: int = 2, spare: int = 2, growth: float = 1.5):
+    def __init__(self, percent: int = 90, k2: int = 1, n2: int = 2, growth: float = 1.5):
         if not (0 < percent < 100 and 0 <= k2 < n2):
             raise ValueError("percent must be 1..99 and k2 less than n2")
-        self.percent, self.k2, self.n2, self.spare, self.growth = percent, k2, n2, spare, growth
+        self.percent, self.k2, self.n2, self.growth = percent, k2, n2, growth
         self.choices = list(combinations(range(n2), n2 - k2))
         self.least = next(s for s in range(1, 10_000) if self.distance(s))
         self.bands = [self.least]
+        # empty partitions to expect where a band's smallest sets have fewest elements for each
+        self.empty = math.exp(-1 / (growth * self.distance(100_000) / 100_000))
 
     def largest_partner(self, s: int) -> int:
         return s * 100 // self.percent
@@ -61,8 +64,11 @@ class PartEnum:
         """Largest Hamming distance at which a set of ``s`` can link to one of its size or more."""
         return (s + self.largest_partner(s)) * (100 - self.percent) // (100 + self.percent)
 
+    def spare(self, s: int) -> int:
+        return 2 + math.ceil(2.5 * self.empty * self.distance(s))
+
     def groups(self, s: int) -> int:
-        return self.distance(s) // (self.k2 + 1) + 1 + self.spare
+        return self.distance(s) // (self.k2 + 1) + 1 + self.spare(s)
 
     def band(self, s: int) -> int:
         while self.bands[-1] <= s:
@@ -97,12 +103,12 @@ class PartEnum:
                 sigs.append(mix((acc[:, cols] * _ODD[cols]).sum(1, dtype=U64) ^ mix(tags * _ODD[63] + U64(c))))
                 full.append(some[:, cols].any(1))
             sigs, full = np.stack(sigs, 1), np.stack(full, 1)
-            out.append(sigs[full] if (~full.all(1)).sum() <= self.spare else sigs.ravel())
+            out.append(sigs[full] if (~full).sum() <= self.spare(s) else sigs.ravel())
         return np.concatenate(out)
 
     def sketch_bits(self, s: int) -> int:
-        """A power of two, some 32 bits for each shingle that may differ; longer sketches fold to shorter ones."""
-        return 1 << max(6, int(32 * self.distance(self.bands[self.band(self.largest_partner(s)) + 1]) - 1).bit_length())
+        """A power of two, some 4 bits for each shingle that may differ; longer sketches fold to shorter ones."""
+        return 1 << max(6, int(4 * self.distance(self.bands[self.band(self.largest_partner(s)) + 1]) - 1).bit_length())
 
     def sketch(self, elements: np.ndarray) -> bytes:
         """Parity of the elements that fall on each bit."""
@@ -147,28 +153,41 @@ def smallest_reached(linked: np.ndarray) -> np.ndarray:
         root = now
 
 
+def _rows(batch, words: int):
+    """(first row, set of every row) of each slice of a batch."""
+    for lo, hi, data, offs in slices(batch.column("text")):
+        scan = Scan(data, offs)
+        h, first = scan.hashes(), scan.first
+        yield lo, [shingle_set(h[first[i] : first[i + 1]], words) for i in range(hi - lo)]
+
+
+def _identity(u: np.ndarray) -> int:
+    return int(mix(u).sum(dtype=U64).view(np.int64))
+
+
 def _sets(words: int, scheme: PartEnum):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column("text")):
-                scan = Scan(data, offs)
-                h, first = scan.hashes(), scan.first
-                n, h1, h2, sigs, ends, sketches = [], [], [], [], [0], []
-                for i in range(hi - lo):
-                    u = shingle_set(h[first[i] : first[i + 1]], words)
-                    sig = scheme.signatures(u)
-                    n.append(len(u))
-                    h1.append(mix(u).sum(dtype=U64))
-                    h2.append(mix(u ^ _ODD[5]).sum(dtype=U64))
-                    sigs.append(sig)
-                    sketches.append(scheme.sketch(u))
-                    ends.append(ends[-1] + len(sig))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(sigs))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(signed(np.array(h1, U64))), pa.array(signed(np.array(h2, U64))), lists, pa.array(sketches, pa.binary())], schema=schema
-                )
+            for lo, sets in _rows(batch, words):
+                h2 = [int(mix(u ^ _ODD[5]).sum(dtype=U64).view(np.int64)) for u in sets]
+                columns = [pa.array(x, pa.int64()) for x in ([len(u) for u in sets], [_identity(u) for u in sets], h2)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), *columns, pa.array([scheme.sketch(u) for u in sets], pa.binary())], schema=schema)
+
+    return run
+
+
+def _signatures(words: int, scheme: PartEnum):
+    schema = pa.schema([("sig", pa.int64()), ("h1", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for _, sets in _rows(batch, words):
+                sigs = [scheme.signatures(u) for u in sets]
+                ids = np.repeat(np.array([_identity(u) for u in sets], np.int64), [len(s) for s in sigs])
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(ids)], schema=schema)
 
     return run
 
@@ -241,7 +260,7 @@ def _linked(words: int, scheme: PartEnum):
                 h = scan.hashes()
                 for i in range(hi - lo):
                     u = shingle_set(h[scan.first[i] : scan.first[i + 1]], words)
-                    if signed(mix(u).sum(dtype=U64, keepdims=True))[0] == h1[lo + i]:  # else another text under the same doc_id
+                    if _identity(u) == h1[lo + i]:  # else another text under the same doc_id
                         kept.append(h1[lo + i])
                         sets.append(u)
             order = np.argsort(kept)
@@ -282,16 +301,22 @@ def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, sch
     """
     scheme = scheme or PartEnum(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(docs.mapInArrow(_sets(words, scheme), "doc_id long, n long, h1 long, h2 long, sigs array<long>, sketch binary"), "sets")
+    base = stored(docs.mapInArrow(_sets(words, scheme), "doc_id long, n long, h1 long, h2 long, sketch binary"), "sets")
     filled = base.where("n > 0")
     reps = stored(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).drop("h2"), "classes")
-    # one row of each class signs
-    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)))
-    classes = filled.where(f"n >= {scheme.least}").groupBy("h1", "h2").agg(F.min_by("sigs", first).alias("sigs"))
+    # of the copies of a set only the smallest doc_id signs, as far as ids tell rows apart
+    copies = base.select("doc_id").where("doc_id is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+    copies = stored(copies.distinct(), "copies")
+    signing = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+    rows = signing.select("text").mapInArrow(_signatures(words, scheme), "sig long, h1 long")
     by_sig = Window.partitionBy("sig").orderBy("h1")
-    rows = classes.select("h1", F.explode("sigs").alias("sig"))
-    hits = rows.withColumns({"before": F.lag("h1").over(by_sig), "next": F.lead("h1").over(by_sig)}).where("next is not null or before is not null").select("sig", "h1")
+    # signatures of the same classes are alike; near copies share many, of which one is enough
+    members, part = Window.partitionBy("sig"), F.lit(1 << 31)
+    alike = {"least": F.min("h1").over(members), "count": F.count("*").over(members), "s1": F.sum(F.pmod(F.xxhash64("h1"), part)).over(members), "s2": F.sum(F.pmod(F.xxhash64("h1", F.lit(1)), part)).over(members)}
+    hits = rows.withColumns({"before": F.lag("h1").over(by_sig), "next": F.lead("h1").over(by_sig)} | alike).where("next <> h1 or before <> h1").drop("before", "next")
     hits = stored(hits, "hits")
+    enough = hits.groupBy(*alike).agg(F.min("sig").alias("sig")).select("sig")
+    hits = stored(hits.select("sig", "h1").join(enough, "sig", "left_semi").distinct(), "hits")
     sketches = filled.join(hits.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     met = _blocked(hits, "sig", SIGNATURE_BLOCK).join(sketches, "h1").repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
     near = stored(met.select("sig", "bi", "bj", "h1", "n", "sketch").mapInArrow(_near(scheme), "node long, root long").distinct(), "near")
