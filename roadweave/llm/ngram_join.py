@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..operators.components import components
 from .tables import slices, stored
 from .words import U64, Scan, mix, shingle_set
 
