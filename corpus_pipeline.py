@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadweave.llm.decontaminate import benchmark_leaks
 from roadweave.llm.mixing import mix_to_targets
-from roadweave.llm.ngram_join import ngram_jaccard_groups
+from roadweave.llm.ngram_join import PartEnum, ngram_jaccard_groups
 from roadweave.llm.suffix_dedup import without_repeats
 from roadweave.llm.tables import read, stored
 from roadweave.llm.toxicity import fit, without_toxic
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without doc_id stay; rows that share a doc_id stay or go together, equal rows once.
     """
-    groups = ngram_jaccard_groups(docs, words=5, percent=80)
+    groups = ngram_jaccard_groups(docs, 5, 80, PartEnum(80, k2=0, n2=1))
     kept = _without(docs, groups.where("component_id is not null and doc_id <> component_id").select("doc_id"))
     again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns).distinct()
