@@ -485,14 +485,15 @@ def test_best_region():
 # pipeline
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline as p
 
     docs0 = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at, seen = docs0, [docs0.count()]
-    for _, stage in p.STAGES[:-1]:
-        at = stage(spark, at, sf_dir)
-        at = spark.createDataFrame(at.toPandas(), docs0.schema)
+    for name, stage in p.STAGES[:-1]:
+        stage(spark, at, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        assert at.columns == docs0.columns
         seen.append(at.count())
     assert seen == sorted(seen, reverse=True) and seen[-1] > seen[0] // 2
     mixed = p.STAGES[-1][1](spark, at, sf_dir)
@@ -507,8 +508,9 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     df, counts = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
-    for _, stage in p.STAGES[:-1]:
-        df = spark.createDataFrame(stage(spark, df, str(tmp_path)).toPandas().astype(object).where(lambda x: x.notna(), None), df.schema)
+    for name, stage in p.STAGES[:-1]:
+        stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
         counts.append(df.count())
     assert counts == [13, 10, 10, 9], json.dumps(counts)
     assert p.run(spark, str(tmp_path)).count() > 0
