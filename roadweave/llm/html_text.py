@@ -36,6 +36,8 @@ MARKS = set(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header legal login masthead menu modal nav navbar navigation navigationbar newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toc toolbar topbar widget widgets contentinfo complementary alert".split()
 )
 CONTENT = set("article body container content entry layout main page post story text wrapper".split())
+#: Words of an article's class or id that name the parts of others beside the text.
+READERS = {"comment", "comments", "reply", "replies", "teaser", "teasers"}
 #: Elements never left out for their class or id.
 KEPT = {"html", "body", "article", "main"}
 #: Elements closed by the next one of these (fixed by HTML).
@@ -59,26 +61,53 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def events(page: str):
-    """Yield ("tag", name, starts a block) and ("text", decoded text, kind); kinds: inside, outside, plain, link, dropped.
+def _reader(attributes: str) -> bool:
+    """Whether a class or id says that an article is a comment or a teaser."""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for one in value.strip("\"'").lower().split():
+                parts = set(re.findall(r"[a-z]+", one))
+                if parts & READERS and parts <= READERS | CONTENT:
+                    return True
+    return False
+
 
-    inside and outside say whether text is in an article or main element, on pages that have one; plain is text of other pages.
+def events(page: str) -> list[tuple]:
+    """("tag", name, starts a block) and ("text", decoded text, kind); kinds: inside, outside, plain, link, dropped.
+
+    inside and outside say whether text is in an article or main element, on pages where these
+    hold most of the words that are neither dropped nor links; plain is text of other pages.
+    Articles that are comments or teasers are dropped if they hold fewer words than the rest.
     """
-    stack: list[tuple[str, bool]] = []
-    dropped = links = articles = 0
-    has_article = bool(re.search(r"<(?:article|main)\b", page, re.I))
+    found = list(_events(page))
+    count = Counter()
+    for what, value, kind in found:
+        if what == "text":
+            count[kind] += len(value.split())
+    fewer = count["reader"] < count["inside"] + count["outside"]
+    most = count["inside"] + (0 if fewer else count["reader"]) >= count["outside"]
+    kinds = {"outside": "outside" if most else "plain", "inside": "inside" if most else "plain", "inside link": "inside" if most else "link", "link": "link", "dropped": "dropped"}
+    kinds["reader"] = "dropped" if fewer else kinds["inside"]
+    return [(what, value, kinds[kind] if what == "text" else kind) for what, value, kind in found]
+
+
+def _events(page: str):
+    """The events with kinds by place only: inside and outside an article, links of both, reader, dropped."""
+    stack: list[tuple[str, bool, bool]] = []
+    dropped = links = articles = readers = 0
     at = 0
 
     def close(index: int):
-        nonlocal dropped, links, articles
-        for name, bad in stack[index:]:
+        nonlocal dropped, links, articles, readers
+        for name, bad, reader in stack[index:]:
             dropped -= bad
             links -= name == "a"
             articles -= name in ("article", "main")
+            readers -= reader
         del stack[index:]
 
     def text(raw: str):
-        kind = "dropped" if dropped else "link" if links and not articles else "inside" if articles else "outside" if has_article else "plain"
+        kind = "dropped" if dropped else "reader" if readers else ("inside link" if links else "inside") if articles else "link" if links else "outside"
         return ("text", html_lib.unescape(raw), kind)
 
     while at < len(page):
@@ -118,8 +147,10 @@ def events(page: str):
         if m[3].rstrip().endswith("/") and name in ("svg", "path", "iframe"):
             continue
         bad = name in DROPPED or (name not in KEPT and _marked(m[3]))
-        stack.append((name, bad))
+        reader = name == "article" and _reader(m[3])
+        stack.append((name, bad, reader))
         dropped += bad
+        readers += reader
         links += name == "a"
         articles += name in ("article", "main")
 
@@ -142,9 +173,9 @@ def labelled_pages(n: int = 60, seed: int = 5):
         opened, closed = shell.split("\0")
         head, tail = f"<html><head><title>{words(5)}</title></head><body>{before}{opened}", f"{closed}{after}</body></html>"
         page = head + body + tail
-        inside = len(list(events(head)))
-        whole = list(events(page))
-        outside = len(whole) - len(list(events(tail)))
+        inside = len(events(head))
+        whole = events(page)
+        outside = len(whole) - len(events(tail))
         yield [(e, inside <= i < outside) for i, e in enumerate(whole)]
 
 
@@ -164,7 +195,8 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
         return math.log((seen[True][key] + 0.5) / (seen[False][key] + 0.5)) - math.log((total[True] + 1) / (total[False] + 1))
 
     words = {k: odds(f"#{k}") for k in ("inside", "plain")}
-    words = {k: max(0.5, w) for k, w in words.items()} | {k: min(-0.5, odds(f"#{k}")) for k in ("outside", "link", "dropped")}
+    words = {k: max(0.5, w) for k, w in words.items()} | {k: min(-0.5, odds(f"#{k}")) for k in ("link", "dropped")}
+    words["outside"] = words["plain"]
     tags = {t: max(-3.0, min(-0.05, odds(t))) for t in {*seen[True], *seen[False]} if not t.startswith("#")}
     return words, tags
 
@@ -184,7 +216,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str) -> str:
     """The main text: blocks of the best region in page order, joined by one space."""
     words, tags = weights()
-    found = list(events(page))
+    found = events(page)
     scores = [words[kind] * len(value.split()) if what == "text" else tags.get(value, -0.3) for what, value, kind in found]
     first, end = best_region(scores)
     if end and any(found[i][2] == "inside" for i in range(first, end) if found[i][0] == "text"):
@@ -196,7 +228,7 @@ def main_text(page: str) -> str:
         if what == "tag":
             if kind:
                 out.append(" ")
-        elif kind in ("inside", "plain", "link"):
+        elif kind != "dropped":
             out.append(value)
     return " ".join("".join(out).split())
 

@@ -465,6 +465,28 @@ def test_pages(spark):
         assert (rows[i]["text"], rows[i]["n_chars"], rows[i]["url"]) == (expected, len(expected), f"u{i}")
 
 
+BODY = "Some words to read in this page, and more of them than of any other part of it."
+READERS = "".join(f'<article class="{c}"><p>Reader said so.</p></article>' for c in ("comment-body", "teaser", "comment"))
+TAGGED = [
+    # article and main stand in comments, scripts, attributes and dropped elements only
+    (f"<body><!-- <main> --><div><p>{BODY}</p></div></body>", BODY),
+    (f"<body><script>var a = '<article>'</script><div title='<main>'><p>{BODY}</p></div></body>", BODY),
+    (f"<body><aside><article>x y z</article></aside><div><p>{BODY}</p></div></body>", BODY),
+    # readers' parts beside a text in a div, and as all of a page
+    (f"<body><div><p>{BODY}</p></div><div>{READERS}</div></body>", BODY),
+    (f"<body>{READERS}</body>", "Reader said so. Reader said so. Reader said so."),
+    # an unmarked card holds few of the words
+    (f"<body><div><p>{BODY}</p></div><nav>n</nav><article class='card'><p>Card</p></article></body>", BODY),
+    # text beside an article that holds more words
+    (f"<body><div><p>Before it all.</p></div><article><p>{BODY}</p></article><div><p>{BODY[:40]}</p></div></body>", f"Before it all. {BODY} {BODY[:40]}"),
+]
+
+
+@pytest.mark.parametrize("page, expected", TAGGED)
+def test_article_tags_hide_no_text(page, expected):
+    assert html_text.main_text(page) == " ".join(expected.split())
+
+
 def test_pages_as_plain_regex(spark, sf_dir):
     import html
 
