@@ -8,7 +8,9 @@ mandatory words follow exactly. Base phrases are looked up in the same hashes.
 
 from __future__ import annotations
 
+import pkgutil
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,12 @@ from .words import NON_ALNUM, Scan, hash_words
 #: Phrases that give a base label wherever their words stand consecutively (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Templates by label, every one beginning with a mandatory word.
+#: Labels of the files in ``license_texts``: whole license texts, from the first to the last binding words, and standard notices.
+WHOLE = ["apache-2.0-full", "bsd-2-clause-full", "bsd-3-clause-full", "gpl-2.0-full", "gpl-3.0-full", "isc-full", "lgpl-2.1-full", "lgpl-3.0-full", "mit-full", "mpl-2.0-full"]
+NOTICES = ["agpl-3.0-notice", "apache-2.0-notice", "gpl-2.0-notice", "gpl-3.0-notice", "lgpl-2.1-notice", "lgpl-3.0-notice", "mpl-2.0-notice"]
+
+#: Templates by label, every one beginning with a mandatory word. The six written here are first sentences only, so
+#: their labels say that a license is named or begun, not that its text follows.
 TEMPLATES = {
     "apache-2.0": "Licensed under the <<beginOptional>>terms of the<<endOptional>> Apache License <<beginOptional>>Version<<endOptional>> 2.0",
     "cc-by-nc-4.0": "Licensed under <<beginOptional>>a<<endOptional>> CC BY-NC 4.0 <<beginOptional>>International License<<endOptional>>",
@@ -29,7 +36,7 @@ TEMPLATES = {
     "mit-notice": "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "mit-text": "Permission is hereby granted free of charge to any person obtaining a copy of <<var;words=8>> and associated documentation files <<beginOptional>>the Software<<endOptional>> to deal in the Software without restriction",
     "bsd-text": "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-}
+} | {label: pkgutil.get_data(__package__, f"license_texts/{label}.txt").decode() for label in WHOLE + NOTICES}
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -72,7 +79,9 @@ class Automaton:
         self.free: list[int | None] = [None]
         self.empty: list[list[int]] = [[]]
         nodes = parse(template)
-        self.first = hash_words([nodes[0][1]])[0]
+        words = words_of(re.sub(r"<<[^>]*>>", " ", template))
+        self.hash_of = dict(zip(words, hash_words(words).tolist(), strict=True))
+        self.first = np.uint64(self.hash_of[nodes[0][1]])
         self.final = self._add(nodes, 0)
 
     def _new(self) -> int:
@@ -85,7 +94,7 @@ class Automaton:
         for kind, value in nodes:
             if kind == "word":
                 to = self._new()
-                self.steps[at][int(hash_words([value])[0])] = to
+                self.steps[at][self.hash_of[value]] = to
                 at = to
             elif kind == "optional":
                 begin, end = self._new(), None
@@ -119,16 +128,22 @@ class Automaton:
     def accepts(self, h: np.ndarray) -> bool:
         """Whether a prefix of the words is the template."""
         states = self._closed({0})
-        for word in h.tolist():
-            if self.final in states:
-                return True
-            moved = {self.steps[s][word] for s in states if word in self.steps[s]} | {self.free[s] for s in states if self.free[s] is not None}
-            if not moved:
-                return False
-            states = self._closed(moved)
+        for lo in range(0, len(h), 64):
+            for word in h[lo : lo + 64].tolist():
+                if self.final in states:
+                    return True
+                moved = {self.steps[s][word] for s in states if word in self.steps[s]} | {self.free[s] for s in states if self.free[s] is not None}
+                if not moved:
+                    return False
+                states = self._closed(moved)
         return self.final in states
 
 
+@cache
+def _automaton(template: str) -> Automaton:
+    return Automaton(template)
+
+
 def _scan(phrases: dict[str, str], templates: dict[str, str]):
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64()]
@@ -136,7 +151,7 @@ def _scan(phrases: dict[str, str], templates: dict[str, str]):
 
     def run(batches):
         wanted = [(hash_words(words_of(p)), label) for p, label in phrases.items()]
-        automata = [(Automaton(t), label) for label, t in templates.items()]
+        automata = [(_automaton(t), label) for label, t in templates.items()]
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
                 scan = Scan(data, offs, NON_ALNUM)

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -446,6 +447,35 @@ def test_license_scan(spark):
     assert rows[n + 4]["labels"] == "gpl,gpl-3.0" and rows[n + 5]["labels"] == "mit-text"
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
+the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+{}THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+FSF = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+def test_whole_license_texts(spark):
+    plain = {label: re.sub(r"<<var;words=\d+>>", " X ", re.sub(r"<<(?:begin|end)Optional>>", " ", licenses.TEMPLATES[label])) for label in licenses.WHOLE + licenses.NOTICES}
+    texts = [MIT.format(""), MIT.format("The Software shall be used for Good, not Evil. "), MIT.format("")[:-10], FSF, *plain.values()]
+    texts += [" ".join(t.split()[:-1]) for t in plain.values()]  # cut before the last word
+    texts += [" ".join([*t.split()[: len(t.split()) // 2], "changed " * 20, *t.split()[len(t.split()) // 2 :]]) for t in plain.values()]
+    found = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert "mit-full" in found[0] and "mit-full" not in found[1] | found[2] and "gpl-3.0-notice" in found[3]
+    n = len(plain)
+    for i, label in enumerate(plain):
+        assert label in found[4 + i] and label not in found[4 + n + i] | found[4 + 2 * n + i], label
+        assert found[4 + i] & set(licenses.WHOLE) <= {label}
+    duck = duckdb.connect()
+    duck.execute("create table documents (doc_id bigint, text varchar)")
+    duck.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    same(licenses.scan_licenses(docs(spark, texts)), duck, ORACLES["op9_licenses"])
+
+
 # operator 10
 
 PAGES = [
