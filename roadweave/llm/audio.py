@@ -105,12 +105,17 @@ def _mel_bank(spec: AudioSpec) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
 
 
+def length_of(samples: np.ndarray, rate: int, spec: AudioSpec) -> tuple[int, int]:
+    """(samples at the working rate, frames): every sample stands in a frame, the last one reaches into silence."""
+    total = -(-len(samples) * spec.work_rate // rate)
+    return total, max(1, 1 - (spec.frame - total) // spec.hop)
+
+
 def frames(samples: np.ndarray, rate: int, spec: AudioSpec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(log-mel rows, frame energy in dB) block by block; at least one frame."""
     common = gcd(rate, spec.work_rate)
     up, down = spec.work_rate // common, rate // common
-    total = -(-len(samples) * up // down)
-    count = max(1, 1 + (total - spec.frame) // spec.hop)
+    count = length_of(samples, rate, spec)[1]
     window = np.hanning(spec.frame).astype(np.float32)
     per_block = max(1, spec.block // spec.hop)
     for first in range(0, count, per_block):
@@ -131,14 +136,21 @@ def active_segments(energy: np.ndarray, spec: AudioSpec) -> np.ndarray:
 
 
 def features(samples: np.ndarray, rate: int, spec: AudioSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tensors [n, tensor_frames, mels], spans [n, 2] in seconds, segments [m, 2] in seconds); the last tensor is padded with silence."""
+    """(tensors [n, tensor_frames, mels], spans [n, 2] in seconds, segments [m, 2] in seconds); the last tensor is padded with silence.
+
+    The last frame's span and segment end with the recording.
+    """
     mel, energy = (np.concatenate(x) for x in zip(*frames(samples, rate, spec), strict=True))
     n = -(-len(mel) // spec.tensor_frames)
     padded = np.full((n * spec.tensor_frames, spec.mels), np.log(np.float32(1e-6)), np.float32)
     padded[: len(mel)] = mel
     starts = np.arange(n) * spec.tensor_frames * spec.hop / spec.work_rate
-    ends = np.minimum(np.arange(1, n + 1) * spec.tensor_frames, len(mel)) * spec.hop / spec.work_rate
-    return padded.reshape(n, spec.tensor_frames, spec.mels), np.stack([starts, ends], 1), active_segments(energy, spec) * spec.hop / spec.work_rate
+    ends = np.arange(1, n + 1) * spec.tensor_frames * spec.hop / spec.work_rate
+    total = length_of(samples, rate, spec)[0]
+    ends[-1] = total / spec.work_rate
+    found = active_segments(energy, spec)
+    segments = np.where(found == len(mel), total, found * spec.hop) / spec.work_rate
+    return padded.reshape(n, spec.tensor_frames, spec.mels), np.stack([starts, ends], 1), segments
 
 
 def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:

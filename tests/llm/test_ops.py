@@ -228,6 +228,18 @@ def test_features_do_not_depend_on_blocks(spark):
     assert len(rows) == len(whole[0]) and np.allclose(rows[0]["log_mel"], whole[0][0].ravel(), atol=1e-4)
 
 
+@pytest.mark.parametrize("size", [192, 384, 576, 768, 192 * 51, 192 * 257])
+def test_frames_reach_the_end(size):
+    spec, x = audio.AudioSpec(), np.full(size, 128, np.uint8)
+    x[-2:] = 255
+    tensors, spans, _ = audio.features(x, 16000, spec)
+    rows = sum(len(m) for m, _ in audio.frames(x, 16000, spec))
+    assert (rows - 1) * spec.hop + spec.frame >= size // 2 > (rows - 2) * spec.hop + spec.frame or rows == 1
+    assert spans[-1, 1] == size / 16000 and tensors.max() > np.log(2e-6)  # the end is heard
+    loud = np.tile(np.array([0, 0, 255, 255], np.uint8), size // 4)
+    assert audio.features(loud, 16000, spec)[2][-1, 1] == size / 16000
+
+
 def test_segments():
     spec = audio.AudioSpec(open_db=-10, close_db=-20)
     energy = np.array([-30, -15, -5, -15, -30, -15, -15, -30, -9.0])
