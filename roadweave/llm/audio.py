@@ -11,6 +11,7 @@ frames need, so memory is bounded and block borders do not show.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -135,22 +136,42 @@ def active_segments(energy: np.ndarray, spec: AudioSpec) -> np.ndarray:
     return runs[strong[runs[:, 1]] > strong[runs[:, 0]]]
 
 
+def tensor_blocks(samples: np.ndarray, rate: int, spec: AudioSpec, energies: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tensors [n, tensor_frames, mels], spans [n, 2] in seconds) block by block; every block's frame energy is put into ``energies``."""
+    total, count = length_of(samples, rate, spec)
+    size, seconds = spec.tensor_frames, spec.tensor_frames * spec.hop / spec.work_rate
+    held, seen, made = np.zeros((0, spec.mels), np.float32), 0, 0
+    for mel, energy in frames(samples, rate, spec):
+        energies.append(energy)
+        seen += len(mel)
+        held = np.concatenate([held, mel])
+        if seen == count:
+            held = np.concatenate([held, np.full((-len(held) % size, spec.mels), np.log(np.float32(1e-6)), np.float32)])
+        n = len(held) // size
+        if not n:
+            continue
+        at = np.arange(made, made + n)
+        ends = (at + 1) * seconds
+        if seen == count:
+            ends[-1] = total / spec.work_rate
+        yield held[: n * size].reshape(n, size, spec.mels), np.stack([at * seconds, ends], 1)
+        held, made = held[n * size :], made + n
+
+
+def segment_times(found: np.ndarray, samples: np.ndarray, rate: int, spec: AudioSpec) -> np.ndarray:
+    """Segments of ``active_segments`` in seconds; one that lasts to the last frame ends with the recording."""
+    total, count = length_of(samples, rate, spec)
+    return np.where(found == count, total, found * spec.hop) / spec.work_rate
+
+
 def features(samples: np.ndarray, rate: int, spec: AudioSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tensors [n, tensor_frames, mels], spans [n, 2] in seconds, segments [m, 2] in seconds); the last tensor is padded with silence.
 
     The last frame's span and segment end with the recording.
     """
-    mel, energy = (np.concatenate(x) for x in zip(*frames(samples, rate, spec), strict=True))
-    n = -(-len(mel) // spec.tensor_frames)
-    padded = np.full((n * spec.tensor_frames, spec.mels), np.log(np.float32(1e-6)), np.float32)
-    padded[: len(mel)] = mel
-    starts = np.arange(n) * spec.tensor_frames * spec.hop / spec.work_rate
-    ends = np.arange(1, n + 1) * spec.tensor_frames * spec.hop / spec.work_rate
-    total = length_of(samples, rate, spec)[0]
-    ends[-1] = total / spec.work_rate
-    found = active_segments(energy, spec)
-    segments = np.where(found == len(mel), total, found * spec.hop) / spec.work_rate
-    return padded.reshape(n, spec.tensor_frames, spec.mels), np.stack([starts, ends], 1), segments
+    energies: list[np.ndarray] = []
+    tensors, spans = (np.concatenate(x) for x in zip(*tensor_blocks(samples, rate, spec, energies), strict=True))
+    return tensors, spans, segment_times(active_segments(np.concatenate(energies), spec), samples, rate, spec)
 
 
 def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
@@ -194,7 +215,9 @@ TENSOR_FIELDS = "doc_id long, part int, start_s double, end_s double, log_mel ar
 def audio_tensors(media: DataFrame, spec: AudioSpec | None = None) -> DataFrame:
     """One row per tensor of each recording (doc_id, media): part, its time span and the flat [tensor_frames * mels] values.
 
-    A null recording gives no row; the values become tensors again by ``tensor_array``.
+    A null recording gives no row; the values become tensors again by ``tensor_array``. The
+    column's metadata say, as Arrow's canonical extension type does, that they are
+    fixed-shape tensors, and of which shape.
     """
     spec = spec or AudioSpec()
 
@@ -206,27 +229,39 @@ def audio_tensors(media: DataFrame, spec: AudioSpec | None = None) -> DataFrame:
                 if stored is None:
                     continue
                 rate, samples = from_wav(stored)
-                tensors, spans, _ = features(np.frombuffer(samples, np.uint8), rate, spec)
-                n = len(tensors)
-                flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (spec.tensor_frames * spec.mels), pa.array(tensors.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.full(n, i))), pa.array(np.arange(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), flat], schema=schema)
+                part = 0
+                for tensors, spans in tensor_blocks(np.frombuffer(samples, np.uint8), rate, spec, []):
+                    n = len(tensors)
+                    flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (spec.tensor_frames * spec.mels), pa.array(tensors.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.full(n, i))), pa.array(np.arange(part, part + n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), flat], schema=schema)
+                    part += n
 
-    return media.select("doc_id", "media").mapInArrow(run, TENSOR_FIELDS)
+    kind = {"ARROW:extension:name": "arrow.fixed_shape_tensor", "ARROW:extension:metadata": json.dumps({"shape": [spec.tensor_frames, spec.mels]})}
+    return media.select("doc_id", "media").mapInArrow(run, TENSOR_FIELDS).withMetadata("log_mel", kind)
 
 
 def feature_text(samples: np.ndarray, rate: int, spec: AudioSpec) -> str:
-    """Short form of the features: counts, active time, and the mean and deviation of every mel band in half log units."""
-    count, total, square, energies = 0, np.zeros(spec.mels), np.zeros(spec.mels), []
-    for mel, energy in frames(samples, rate, spec):
-        count += len(mel)
+    """Short form of the tensors, spans and segments, which are made block by block.
+
+    Counts, active frames, the mean and deviation of every mel band over the frames, and the
+    SHA-256 of all three: tensors in half log units, times in microseconds.
+    """
+    frame_count = length_of(samples, rate, spec)[1]
+    seen, total, square, energies, times, digest = 0, np.zeros(spec.mels), np.zeros(spec.mels), [], [], hashlib.sha256()
+    for tensors, spans in tensor_blocks(samples, rate, spec, energies):
+        times.append(spans)
+        digest.update(np.rint(tensors * 2).astype("<i2").tobytes())
+        mel = tensors.reshape(-1, spec.mels)[: frame_count - seen]
+        seen += len(mel)
         total += mel.sum(0, dtype=np.float64)
         square += np.square(mel, dtype=np.float64).sum(0)
-        energies.append(energy)
-    mean = total / count
-    deviation = np.sqrt(np.maximum(0, square / count - mean**2))
+    mean = total / frame_count
+    deviation = np.sqrt(np.maximum(0, square / frame_count - mean**2))
     segments = active_segments(np.concatenate(energies), spec)
+    times.append(segment_times(segments, samples, rate, spec))
+    digest.update(np.rint(np.concatenate(times) * 1e6).astype("<i8").tobytes())
     levels = ".".join(f"{m:d}:{d:d}" for m, d in zip(np.rint(mean * 2).astype(int), np.rint(deviation * 2).astype(int), strict=True))
-    return f"frames={count};tensors={-(-count // spec.tensor_frames)};segments={len(segments)};active={int((segments[:, 1] - segments[:, 0]).sum())};mel={levels}"
+    return f"frames={frame_count};tensors={sum(map(len, times[:-1]))};segments={len(segments)};active={int((segments[:, 1] - segments[:, 0]).sum())};mel={levels};sha256={digest.hexdigest()}"
 
 
 def _digest(spec: AudioSpec):

@@ -228,6 +228,23 @@ def test_features_do_not_depend_on_blocks(spark):
     assert len(rows) == len(whole[0]) and np.allclose(rows[0]["log_mel"], whole[0][0].ravel(), atol=1e-4)
 
 
+@pytest.mark.parametrize("size", [192, 96 * 160, 192 * 700])
+def test_digest_is_of_the_tensors(spark, size):
+    spec, x = audio.AudioSpec(block=4000), np.random.default_rng(2).integers(0, 256, size, dtype=np.uint8)
+    tensors, spans, segments = audio.features(x, 16000, spec)
+    half, micro = lambda t: np.rint(t * 2).astype("<i2").tobytes(), lambda t: np.rint(t * 1e6).astype("<i8").tobytes()
+    blocks = list(audio.tensor_blocks(x, 16000, spec, []))
+    whole = hashlib.sha256(half(tensors) + micro(spans) + micro(segments)).hexdigest()
+    text = dict(f.split("=") for f in audio.feature_text(x, 16000, spec).split(";"))
+    assert text["sha256"] == whole and int(text["tensors"]) == len(tensors) == len(spans) and (np.concatenate([t for t, _ in blocks]) == tensors).all()
+    changed = x.copy()
+    changed[-100:] = 128
+    assert audio.feature_text(changed, 16000, spec)[-64:] != whole
+    column = audio.audio_tensors(spark.createDataFrame([(1, audio.to_wav(x.tobytes(), 16000))], "doc_id long, media binary"), spec)
+    assert json.loads(column.schema["log_mel"].metadata["ARROW:extension:metadata"]) == {"shape": [96, 24]}
+    assert [r["part"] for r in column.orderBy("part").collect()] == list(range(len(tensors)))
+
+
 @pytest.mark.parametrize("size", [192, 384, 576, 768, 192 * 51, 192 * 257])
 def test_frames_reach_the_end(size):
     spec, x = audio.AudioSpec(), np.full(size, 128, np.uint8)
