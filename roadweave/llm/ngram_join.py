@@ -8,7 +8,9 @@ deals the feature domain to ``groups * n2`` partitions: k differences cannot spo
 one size band share the partitioning; a set near a band's upper end also signs for the
 next band. A set emits only as many groups as its own size can need, plus spare ones:
 then signatures over empty partitions are needed only where there are more of them than
-spare groups, which keeps unrelated sets from meeting in "both are empty".
+the spare groups of the smallest set that it may link to, which keeps unrelated sets from
+meeting in "both are empty". (A pair shares more groups than its differences and the
+smaller set's spare ones can take, so either a full one stays or both sign the empty ones.)
 
 Every pair at the threshold shares a signature (no recall loss). Copies of one set are
 one class. Within a signature classes are compared by parity sketches, whose differing
@@ -60,6 +62,9 @@ class PartEnum:
     def largest_partner(self, s: int) -> int:
         return s * 100 // self.percent
 
+    def smallest_partner(self, s: int) -> int:
+        return -(-s * self.percent // 100)
+
     def distance(self, s: int) -> int:
         """Largest Hamming distance at which a set of ``s`` can link to one of its size or more."""
         return (s + self.largest_partner(s)) * (100 - self.percent) // (100 + self.percent)
@@ -103,7 +108,7 @@ class PartEnum:
                 sigs.append(mix((acc[:, cols] * _ODD[cols]).sum(1, dtype=U64) ^ mix(tags * _ODD[63] + U64(c))))
                 full.append(some[:, cols].any(1))
             sigs, full = np.stack(sigs, 1), np.stack(full, 1)
-            out.append(sigs[full] if (~full).sum() <= self.spare(s) else sigs.ravel())
+            out.append(sigs[full] if (~full).sum() <= self.spare(self.smallest_partner(s)) else sigs.ravel())
         return np.concatenate(out)
 
     def sketch_bits(self, s: int) -> int:

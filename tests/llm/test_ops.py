@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from roadweave.llm import audio, chat, html_text, licenses, mixing, token_counts, toxicity
 from roadweave.llm.decontaminate import benchmark_leaks, sketch_size
-from roadweave.llm.ngram_join import PartEnum, fold, ngram_jaccard_groups
+from roadweave.llm.ngram_join import _ODD, PartEnum, fold, ngram_jaccard_groups
 from roadweave.llm.queries import QUERIES
 from roadweave.llm.sql import ORACLES
 from roadweave.llm.suffix_dedup import repeated_spans, without_repeats
-from roadweave.llm.words import Scan, hash_words
+from roadweave.llm.words import Scan, hash_words, mix
 
 import sys, os  # noqa: E401
 
@@ -126,6 +126,26 @@ def test_partenum_loses_no_pair(args):
     assert seen > 50
 
 
+def test_partenum_pairs_with_equal_empty_partitions():
+    scheme = PartEnum(80, k2=0, n2=1)
+    a_size, b_size = 20, 25  # linked at five differences; spare is 3 and 4
+    inst = scheme.band(a_size)
+    total, need = scheme.groups(scheme.bands[inst + 1]), scheme.groups(a_size)
+    pool = np.random.default_rng(4).integers(0, 2**63, 20_000, dtype=np.uint64)
+    at = ((mix(pool ^ _ODD[inst]) >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
+    in_part = lambda i, k: pool[at == i][:k]
+    # partitions 0 to 4 are full and get one more element each in b; 5 to 8 are empty in both; the rest is equal
+    rest = np.concatenate([in_part(i, 20) for i in range(need, total)])
+    full = np.concatenate([in_part(i, 1) for i in range(5)])
+    head = np.concatenate([in_part(i, 1) for i in range(need, total)])
+    a = np.concatenate([full, np.unique(np.concatenate([head, rest[: a_size - 5 - len(head)]]))])
+    spare = [x for x in rest if x not in a]
+    a = np.concatenate([a, np.array(spare[: a_size - len(a)], np.uint64)])
+    b = np.concatenate([a, *(in_part(i, 2)[1:] for i in range(5))])
+    assert (need, len(set(a)), len(set(b))) == (9, a_size, b_size)
+    assert set(scheme.signatures(np.sort(a)).tolist()) & set(scheme.signatures(np.sort(b)).tolist())
+
+
 def test_large_group_meets_in_blocks(spark, monkeypatch):
     from roadweave.llm import ngram_join
 
