@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels handle at once; a longer text is one slice of its own.
 SLICE_BYTES = 1 << 19
 
 
+#: Bytes and rows of an Arrow batch at most, where the session allows more: a worker and its JVM hold some batches at once, and keep what they took.
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 2_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a local one is set."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a local one is set for a local master (tests), and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/roadweave-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -34,7 +44,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or one like it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,6 +74,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _give_back() -> None:
+    """Return freed memory to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable, fields) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size; the worker's memory is given back at the end of a task."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", conf.get(name).strip().lower()).groups()
+        if unit not in ("", "b") or not 0 < int(number) <= most:
+            conf.set(name, str(most))
+    return df.mapInArrow(released, fields)
+
+
 def as_binary(column: pa.Array | pa.ChunkedArray) -> pa.LargeBinaryArray:
     """A text column's UTF-8 bytes with 64-bit offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

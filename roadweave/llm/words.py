@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U64 = np.uint64
+#: A text longer than two pieces is scanned in pieces of about so many bytes, cut between words.
+PIECE_BYTES = 1 << 19
+#: Longer words are hashed at once instead of by eight bytes a step.
+LONG_WORD = 256
 #: Odd multipliers of the splitmix64 finaliser and of the n-gram combination (fixed values, public domain).
 _M1, _M2, _GOLDEN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
@@ -53,7 +59,8 @@ class Scan:
         eights = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
         lengths = self.ends - self.starts
         h = np.zeros(len(lengths), U64)
-        at, left, rows = self.starts, lengths, None
+        long = np.flatnonzero(lengths > LONG_WORD)
+        at, left, rows = self.starts, np.where(lengths > LONG_WORD, 1, lengths) if len(long) else lengths, None
         while True:
             piece = eights[at]
             short = np.minimum(left, 8).astype(U64)
@@ -67,9 +74,82 @@ class Scan:
                 break
             rows = more if rows is None else rows[more]
             at, left = at[more] + 8, left[more] - 8
+        for i in long:
+            piece = eights[self.starts[i] : self.ends[i] : 8].copy()
+            piece[-1] &= ~U64(0) >> U64(8 * (-int(lengths[i]) % 8))
+            h[i] = mix(piece + np.arange(1, len(piece) + 1, dtype=U64) * _GOLDEN).sum(dtype=U64)
         return mix(h ^ (lengths.astype(U64) * _M1))
 
 
+def pieces(data: np.ndarray, separators: np.ndarray = SPACES) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, bytes) of one text's pieces, each ending between two words (a longer word makes a longer piece)."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + PIECE_BYTES)
+        while end < len(data):
+            gap = np.flatnonzero(separators[LOWER[data[end : end + 4096]]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(len(data), end + 4096)
+        yield at, data[at:end]
+        at = end
+
+
+def is_long(data: np.ndarray, offsets: np.ndarray) -> bool:
+    """Whether a slice is one text to be scanned in pieces."""
+    return len(offsets) == 2 and len(data) > 2 * PIECE_BYTES
+
+
+def piece_scans(data: np.ndarray, separators: np.ndarray = SPACES, lower: bool = True) -> Iterator[tuple[int, int, Scan]]:
+    """(place, words before, scan) of one text's pieces."""
+    words = 0
+    for at, piece in pieces(data, separators):
+        scan = Scan(piece, np.array([0, len(piece)]), separators, lower)
+        yield at, words, scan
+        words += len(scan.starts)
+
+
+def overlapped(data: np.ndarray, offsets: np.ndarray, more: int, separators: np.ndarray = SPACES) -> Iterator[tuple[int, int, Scan]]:
+    """(words before, own words, scan) of a slice: it as a whole, or a long text's pieces, each followed by the next ``more`` words."""
+    if not is_long(data, offsets):
+        scan = Scan(data, offsets, separators)
+        yield 0, len(scan.starts), scan
+        return
+    words = 0
+    for at, piece in pieces(data, separators):
+        own = len(Scan(piece, np.array([0, len(piece)]), separators).starts)
+        end, reach = at + len(piece), 64 * more
+        while True:
+            stop = min(len(data), end + reach)
+            scan = Scan(data[at:stop], np.array([0, stop - at]), separators)
+            if len(scan.starts) > own + more or stop == len(data):
+                break
+            reach *= 4
+        kept = min(len(scan.starts), own + more)
+        scan.starts, scan.ends, scan.first = scan.starts[:kept], scan.ends[:kept], np.array([0, kept])
+        yield words, own, scan
+        words += own
+
+
+class Words:
+    """Hashes ``h`` of a slice's words and the place ``first`` of each row's first one; of a long text nothing else is held at once."""
+
+    __slots__ = ("first", "h")
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES):
+        if not is_long(data, offsets):
+            scan = Scan(data, offsets, separators)
+            self.h, self.first = scan.hashes(), scan.first
+            return
+        held, n = np.empty(len(data) // 2 + 1, U64), 0  # pages that no word reaches are never touched
+        for _, _, scan in piece_scans(data, separators):
+            h = scan.hashes()
+            held[n : n + len(h)] = h
+            n += len(h)
+        self.h, self.first = held[:n], np.array([0, n])
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position (n - 1 fewer rows); runs over row ends are the caller's to leave out."""
     if len(h) < n:
@@ -81,11 +161,50 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def distinct(out: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, made in the array's own memory."""
+    out.sort()
+    n = 0
+    last = None
+    for lo in range(0, len(out), PIECE_BYTES):
+        part = out[lo : lo + PIECE_BYTES]
+        new = np.ones(len(part), bool)
+        np.not_equal(part[1:], part[:-1], out=new[1:])
+        new[0] = last is None or part[0] != last
+        last = part[-1]
+        part = part[new]
+        out[n : n + len(part)] = part
+        n += len(part)
+    return out[:n]
+
+
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-word shingles of one text; with fewer words the whole sequence is the one shingle."""
-    if not len(h):
-        return h
-    return np.unique(grams(h, min(n, len(h))))
+    return np.unique(grams(h, min(n, len(h)))) if len(h) else h
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
+    """``shingle_set`` of every row of a slice; of a long text only the shingles are held at once."""
+    if not is_long(data, offsets):
+        scan = Scan(data, offsets)
+        h, first = scan.hashes(), scan.first
+        return [shingle_set(h[a:b], n) for a, b in zip(first[:-1], first[1:], strict=True)]
+    held, count, tail = np.empty(len(data) // 2 + 1, U64), 0, np.zeros(0, U64)
+    for _, _, scan in piece_scans(data):
+        h = np.concatenate([tail, scan.hashes()])
+        g = grams(h, n)
+        held[count : count + len(g)] = g
+        count, tail = count + len(g), h[max(0, len(h) - n + 1) :]
+    return [distinct(held[:count]) if count else shingle_set(tail, n)]
+
+
+def summed(u: np.ndarray, salt: np.uint64) -> int:
+    """Signed 64-bit sum of the salted, mixed values: an identity of a set."""
+    total = U64(0)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(u), PIECE_BYTES):
+            total += mix(u[lo : lo + PIECE_BYTES] ^ salt).sum(dtype=U64)
+    return int(np.uint64(total).view(np.int64))
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
