@@ -15,10 +15,14 @@ smaller set's spare ones can take, so either a full one stays or both sign the e
 Every pair at the threshold shares a signature (no recall loss). Copies of one set are
 one class. Within a signature classes are compared by parity sketches, whose differing
 bits never outnumber the sets' differing shingles, and each is tied to the smallest class
-that it may reach; the components of these ties hold every link. Each component's texts
-then meet in blocks of bounded size, where exact Hamming distances are popcounts of a
-bit matrix, and again only ties to a smallest class leave the block. So no pairs of a
-group are ever emitted, and no group is held by one task.
+that it may reach; the classes of a signature that very many share are tied unseen. The
+components of these ties are clusters that hold every link. A cluster's texts are dealt
+once to blocks of bounded size, each with the cluster's first class, where exact Hamming
+distances are popcounts of a bit matrix; ties to a smallest class leave the block. Near
+copies of one text are joined by their first class that way. Only what stays apart from
+most of its cluster is compared again with all that share a signature with it, in pairs
+of blocks. So no pairs of a group are emitted, no group is held by one task, and a group
+of near copies takes work in proportion to its size.
 """
 
 from __future__ import annotations
@@ -32,13 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .tables import slices, stored
-from .words import U64, Scan, mix, shingle_set
+from .tables import dropped, few, mapped, slices, stored
+from .words import PIECE_BYTES, U64, mix, shingle_sets, summed
 
 #: More documents to be verified than this are found by a shuffled join instead of a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 500_000
-#: Classes of one signature, and texts of one component, meet in blocks of about so many.
-SIGNATURE_BLOCK, TEXT_BLOCK = 1000, 300
+#: Classes of one signature, and texts of one cluster, meet in blocks of about so many; a block of texts has about so many shingles.
+SIGNATURE_BLOCK, TEXT_BLOCK, BLOCK_SHINGLES = 1000, 300, 400_000
 _ODD = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 
 
@@ -93,14 +97,15 @@ class PartEnum:
         for inst in instances:
             total = self.groups(self.bands[inst + 1])
             need = self.groups(s)
-            salted = mix(elements ^ _ODD[inst % 64])
-            at = ((salted >> U64(32)) * U64(total * self.n2)) >> U64(32)
-            keep = at < need * self.n2
-            at, value = at[keep].astype(np.int64), mix(salted[keep] + U64(inst + 1))
-            acc = np.zeros(need * self.n2, U64)
-            np.add.at(acc, at, value)
-            some = (np.bincount(at, minlength=need * self.n2) > 0).reshape(need, self.n2)
-            acc = acc.reshape(need, self.n2)
+            acc, some = np.zeros(need * self.n2, U64), np.zeros(need * self.n2, bool)
+            for lo in range(0, s, PIECE_BYTES):
+                salted = mix(elements[lo : lo + PIECE_BYTES] ^ _ODD[inst % 64])
+                at = ((salted >> U64(32)) * U64(total * self.n2)) >> U64(32)
+                keep = at < need * self.n2
+                at, value = at[keep].astype(np.int64), mix(salted[keep] + U64(inst + 1))
+                np.add.at(acc, at, value)
+                some[at] = True
+            acc, some = acc.reshape(need, self.n2), some.reshape(need, self.n2)
             tags = (np.arange(need, dtype=U64) << U64(16)) + U64(inst)
             sigs, full = [], []
             for c, choice in enumerate(self.choices):
@@ -121,8 +126,11 @@ class PartEnum:
             return b""
         self.band(self.largest_partner(len(elements)))
         size = self.sketch_bits(len(elements))
-        at = (mix(elements ^ _ODD[7]) & U64(size - 1)).astype(np.int64)
-        return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool)).tobytes()
+        odd = np.zeros(size, bool)
+        for lo in range(0, len(elements), PIECE_BYTES):
+            at = (mix(elements[lo : lo + PIECE_BYTES] ^ _ODD[7]) & U64(size - 1)).astype(np.int64)
+            odd ^= (np.bincount(at, minlength=size) & 1).astype(bool)
+        return np.packbits(odd).tobytes()
 
     def apart(self, n: np.ndarray, distance: np.ndarray) -> np.ndarray:
         """Whether sets of sizes ``n`` at these (least) distances cannot link."""
@@ -160,25 +168,30 @@ def smallest_reached(linked: np.ndarray) -> np.ndarray:
 
 def _rows(batch, words: int):
     """(first row, set of every row) of each slice of a batch."""
-    for lo, hi, data, offs in slices(batch.column("text")):
-        scan = Scan(data, offs)
-        h, first = scan.hashes(), scan.first
-        yield lo, [shingle_set(h[first[i] : first[i + 1]], words) for i in range(hi - lo)]
+    for lo, _, data, offs in slices(batch.column("text")):
+        yield lo, shingle_sets(data, offs, words)
 
 
 def _identity(u: np.ndarray) -> int:
-    return int(mix(u).sum(dtype=U64).view(np.int64))
+    return summed(u, U64(0))
+
+
+def _second(u: np.ndarray) -> int:
+    return summed(u, _ODD[5])
+
+
+_SETS = "doc_id long, t long, n long, h1 long, h2 long, sketch binary"
 
 
 def _sets(words: int, scheme: PartEnum):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "t", "n", "h1", "h2")] + [("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for lo, sets in _rows(batch, words):
-                h2 = [int(mix(u ^ _ODD[5]).sum(dtype=U64).view(np.int64)) for u in sets]
-                columns = [pa.array(x, pa.int64()) for x in ([len(u) for u in sets], [_identity(u) for u in sets], h2)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), *columns, pa.array([scheme.sketch(u) for u in sets], pa.binary())], schema=schema)
+                columns = [pa.array(x, pa.int64()) for x in ([len(u) for u in sets], [_identity(u) for u in sets], [_second(u) for u in sets])]
+                same = [batch.column(c).slice(lo, len(sets)) for c in ("doc_id", "t")]
+                yield pa.RecordBatch.from_arrays([*same, *columns, pa.array([scheme.sketch(u) for u in sets], pa.binary())], schema=schema)
 
     return run
 
@@ -255,21 +268,17 @@ def _near(scheme: PartEnum):
 
 
 def _linked(words: int, scheme: PartEnum):
-    """Classes of one block (cluster, bi, bj, h1, text) that links join: (node, root)."""
+    """Classes of one block (cluster, bi, bj, h1, h2, id, text) that links join: (node, root) of ids."""
 
     def run(batches):
-        for h1, texts in _groups(batches, ["cluster", "bi", "bj"], ["h1", "text"]):
-            kept, sets = [], []
-            for lo, hi, data, offs in slices(pa.array(texts, pa.string())):
-                scan = Scan(data, offs)
-                h = scan.hashes()
-                for i in range(hi - lo):
-                    u = shingle_set(h[scan.first[i] : scan.first[i + 1]], words)
-                    if _identity(u) == h1[lo + i]:  # else another text under the same doc_id
-                        kept.append(h1[lo + i])
-                        sets.append(u)
-            order = np.argsort(kept)
-            ids, sets = np.array(kept, np.int64)[order], [sets[i] for i in order]
+        for h1, h2, own, texts in _groups(batches, ["cluster", "bi", "bj"], ["h1", "h2", "id", "text"]):
+            found = {}
+            for lo, _, data, offs in slices(pa.array(texts, pa.large_string())):
+                for i, u in enumerate(shingle_sets(data, offs, words), lo):
+                    if (_identity(u), _second(u)) == (h1[i], h2[i]):  # else another text under the same doc_id
+                        found[own[i]] = u
+            ids = np.array(sorted(found), np.int64)
+            sets = [found[i] for i in ids]
             n = np.array([len(u) for u in sets], np.int64)
             vocabulary, at = np.unique(np.concatenate([*sets, np.zeros(0, U64)]), return_inverse=True)
             row = np.repeat(np.arange(len(sets)), n)
@@ -286,12 +295,63 @@ def _linked(words: int, scheme: PartEnum):
     return run
 
 
-def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Deal the rows of each key to pairs of blocks of about ``size`` (bi <= bj): any two rows of a key meet, each with its own block's rows too."""
-    blocks = rows.groupBy(key).agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / size).cast("int")).drop("members")
+def _paired(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """Deal the rows of each key to pairs of its ``blocks`` (bi <= bj): any two rows of a key meet, each with its own block's rows too."""
     own = F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int")
     dealt = rows.join(blocks, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("own", "other")
+    return dealt.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("own", "other", "blocks")
+
+
+def _with_pivot(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Deal the rows of each cluster to its blocks once; the class it is named after stands in all of them."""
+    own = F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int")
+    everywhere = F.when(F.col("h1") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    return rows.join(blocks, "cluster").withColumns({"bi": F.explode(everywhere), "bj": F.lit(0)}).drop("blocks")
+
+
+def _blocks(rows: DataFrame, key: str, size: int, weight: str = "0", heavy: int = 1) -> DataFrame:
+    """(key, blocks): as many as give a block about ``size`` rows and ``heavy`` weight at most; keys of one row are left out."""
+    blocks = F.greatest(F.ceil(F.col("members") / size), F.ceil(F.col("weight") / heavy)).cast("int")
+    sums = rows.groupBy(key).agg(F.count("*").alias("members"), F.sum(F.expr(weight)).alias("weight"))
+    return stored(sums.where("members > 1").select(key, F.greatest(F.lit(1), blocks).alias("blocks")), "blocks")
+
+
+class _Join:
+    """The tables that the steps of one self-join share."""
+
+    def __init__(self, docs: DataFrame, base: DataFrame, reps: DataFrame, words: int, scheme: PartEnum):
+        self.docs, self.base, self.reps, self.words, self.scheme = docs, base, reps, words, scheme
+
+    def near(self, hits: DataFrame) -> DataFrame:
+        """(node, root) of h1: classes that share a signature (sig, h1) and whose sketches do not exclude a link."""
+        wanted = hits.select("h1").distinct()
+        sketches = self.base.where("n > 0").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+        met = _paired(hits.select("sig", "h1"), "sig", _blocks(hits, "sig", SIGNATURE_BLOCK)).join(stored(sketches, "sketches"), "h1")
+        met = met.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
+        return mapped(met.select("sig", "bi", "bj", "h1", "n", "sketch"), _near(self.scheme), "node long, root long").distinct()
+
+    def clusters(self, near: DataFrame) -> DataFrame:
+        """(cluster, h1, h2, id, n, rep, t): the classes of the components of ``near``."""
+        found = components(stored(near, "near"), "node", "root").withColumnsRenamed({"node": "h1", "root": "cluster"})
+        return stored(found.join(self.reps, "h1"), "clusters")
+
+    def ties(self, clusters: DataFrame, deal, blocks: DataFrame) -> DataFrame:
+        """(node, root) of ids: exact links within the blocks that ``deal`` makes of the clusters' texts."""
+        wanted = few(clusters.select("cluster", "h1", "h2", "id", F.col("rep").alias("_rep"), F.col("t").alias("_t")), BROADCAST_IDS)
+        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("t") == F.col("_t"))).select("cluster", "h1", "h2", "id", "text")
+        met = deal(texts.dropDuplicates(["id"]), few(blocks, BROADCAST_IDS)).repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+        return stored(mapped(met.select("cluster", "bi", "bj", "h1", "h2", "id", "text"), _linked(self.words, self.scheme), "node long, root long").distinct(), "ties")
+
+    def unlinked(self, clusters: DataFrame, blocks: DataFrame, ties: DataFrame) -> DataFrame:
+        """h1 of the classes that the blocks left apart from most of their cluster; none where all classes of a cluster met in one block."""
+        split = clusters.join(few(blocks.where("blocks > 1").select("cluster"), BROADCAST_IDS), "cluster", "left_semi").select("cluster", "h1", "id")
+        if not split.limit(1).count():
+            return split.select("h1")
+        labels = components(ties, "node", "root")
+        known = stored(split.join(labels, F.col("id") == F.col("node"), "left").select("cluster", "h1", F.coalesce("root", "id").alias("label")), "labels")
+        sizes = known.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+        largest = stored(sizes.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("cluster", "most.label"), "largest")
+        return stored(known.join(largest.withColumnRenamed("label", "_most"), "cluster").where("label <> _most").select("h1").distinct(), "unlinked")
 
 
 def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, scheme: PartEnum | None = None) -> DataFrame:
@@ -302,44 +362,47 @@ def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, sch
     empty texts have the empty set, link with nothing and are their own component. Equal
     sets link, repeated rows included; rows of one doc_id with different texts are
     different documents that share an id. component_id is the smallest doc_id reachable
-    (null doc_ids count only if all are null). Extra columns are ignored.
+    (null doc_ids count only if all are null). A long text is read in pieces, only its
+    shingles are held. An empty table gives none; extra columns are ignored.
     """
     scheme = scheme or PartEnum(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(docs.mapInArrow(_sets(words, scheme), "doc_id long, n long, h1 long, h2 long, sketch binary"), "sets")
-    filled = base.where("n > 0")
-    reps = stored(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).drop("h2"), "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    base = stored(mapped(docs, _sets(words, scheme), _SETS), "sets")
+    held = {"rep": F.min("doc_id"), "t": F.coalesce(F.min_by("t", "doc_id"), F.min("t")), "n": F.max("n"), "id": F.xxhash64("h1", "h2")}
+    reps = base.where("n > 0").groupBy("h1", "h2").agg(*(x.alias(k) for k, x in held.items() if k != "id")).withColumn("id", held["id"])
+    reps = stored(reps, "classes")
+    join = _Join(docs, base, reps, words, scheme)
     # of the copies of a set only the smallest doc_id signs, as far as ids tell rows apart
     copies = base.select("doc_id").where("doc_id is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     copies = stored(copies.distinct(), "copies")
-    signing = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
-    rows = signing.select("text").mapInArrow(_signatures(words, scheme), "sig long, h1 long")
-    by_sig = Window.partitionBy("sig").orderBy("h1")
+    signing = docs.join(few(copies, BROADCAST_IDS), "doc_id", "left_anti")
+    rows = mapped(signing.select("text"), _signatures(words, scheme), "sig long, h1 long")
+    shared = stored(rows.groupBy("sig").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("sig"), "shared")
+    met = stored(rows.join(shared, "sig").distinct(), "met")
     # signatures of the same classes are alike; near copies share many, of which one is enough
-    members, part = Window.partitionBy("sig"), F.lit(1 << 31)
-    alike = {"least": F.min("h1").over(members), "count": F.count("*").over(members), "s1": F.sum(F.pmod(F.xxhash64("h1"), part)).over(members), "s2": F.sum(F.pmod(F.xxhash64("h1", F.lit(1)), part)).over(members)}
-    hits = rows.withColumns({"before": F.lag("h1").over(by_sig), "next": F.lead("h1").over(by_sig)} | alike).where("next <> h1 or before <> h1").drop("before", "next")
-    hits = stored(hits, "hits")
-    enough = hits.groupBy(*alike).agg(F.min("sig").alias("sig")).select("sig")
-    hits = stored(hits.select("sig", "h1").join(enough, "sig", "left_semi").distinct(), "hits")
-    sketches = filled.join(hits.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    met = _blocked(hits, "sig", SIGNATURE_BLOCK).join(sketches, "h1").repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
-    near = stored(met.select("sig", "bi", "bj", "h1", "n", "sketch").mapInArrow(_near(scheme), "node long, root long").distinct(), "near")
-    clusters = stored(components(near, "node", "root").withColumnsRenamed({"node": "h1", "root": "cluster"}), "clusters")
-    wanted = clusters.join(reps, "h1").select(F.col("rep").alias("doc_id"), "h1")
-    if clusters.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("h1", "text").distinct()
-    met = _blocked(clusters, "cluster", TEXT_BLOCK).join(texts, "h1").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    ties = stored(met.select("cluster", "bi", "bj", "h1", "text").mapInArrow(_linked(words, scheme), "node long, root long").distinct(), "ties")
+    part = F.lit(1 << 31)
+    alike = {"least": F.min("h1"), "members": F.count("*"), "s1": F.sum(F.pmod(F.xxhash64("h1"), part)), "s2": F.sum(F.pmod(F.xxhash64("h1", F.lit(1)), part))}
+    enough = met.groupBy("sig").agg(*(x.alias(k) for k, x in alike.items())).groupBy(*alike).agg(F.min("sig").alias("sig")).select("sig", "members", "least")
+    hits = stored(met.join(stored(enough, "enough"), "sig"), "hits")
+    dropped(shared, met, copies)
+    # the classes of a much shared signature are candidates of each other without a look at their sketches
+    near = join.near(hits.where(F.col("members") <= SIGNATURE_BLOCK)).unionByName(hits.where(F.col("members") > SIGNATURE_BLOCK).select(F.col("h1").alias("node"), F.col("least").alias("root")).where("node <> root"))
+    clusters = join.clusters(near)
+    blocks = _blocks(clusters, "cluster", TEXT_BLOCK, "n", BLOCK_SHINGLES)
+    ties = join.ties(clusters, _with_pivot, blocks)
+    left = join.unlinked(clusters, blocks, ties)
+    if left.limit(1).count():  # what shares a signature with them meets block by block
+        again = hits.join(stored(hits.join(left, "h1", "left_semi").select("sig").distinct(), "signatures"), "sig", "left_semi")
+        clusters = join.clusters(join.near(stored(again, "again")))
+        ties = ties.unionByName(join.ties(clusters, lambda texts, dealt: _paired(texts, "cluster", dealt), _blocks(clusters, "cluster", TEXT_BLOCK, "n", BLOCK_SHINGLES)))
     # classes of one block have one root; those of several have one in each of theirs
-    several = ties.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("low", "high")
+    several = ties.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     roots = ties.groupBy("node").agg(F.min("root").alias("label"))
     if several.limit(1).count():
         roots = components(ties, "node", "root").withColumnRenamed("root", "label")
-    known = reps.join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    known = reps.select("h1", "h2", "id", "rep").join(roots.withColumnRenamed("node", "id"), "id")
     lowest = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = known.select("h1", "label").join(lowest, "label").select("h1", "component_id")
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), F.col("h1").alias("class_hash"))
-    some = out.where("n_shingles > 0").join(found.withColumnRenamed("h1", "class_hash"), "class_hash").select("doc_id", "n_shingles", "class_hash", "component_id")
-    return some.unionByName(out.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    found = stored(known.join(lowest, "label").select("h1", "h2", "component_id"), "components")
+    own = reps.select("h1", "h2", "rep").join(found, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
+    out = base.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(stored(own, "own"), ["h1", "h2"], "left")
+    return out.select("doc_id", "n_shingles", F.col("h1").alias("class_hash"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
