@@ -10,7 +10,8 @@ one. One linear scan finds all maximal-scoring segments of a text. Segment score
 p-values by the extreme-value law fitted to clean texts, and a text's summed evidence
 becomes a probability by a logistic curve.
 
-The fit uses at most ``FitLimits.rows`` labelled texts and ``FitLimits.tokens`` tokens; scoring covers every whole text.
+The fit uses at most ``FitLimits.rows`` labelled texts and all tokens of a significant effect in them; scoring covers
+every whole text, a long one piece by piece.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import slices, stored
-from .words import NON_ALNUM, U64, Scan, mix
+from .tables import dropped, mapped, slices, stored
+from .words import NON_ALNUM, U64, Scan, is_long, mix, piece_scans
 
 DRIFT = -0.5
 #: Bytes of the prefix tokens.
@@ -39,10 +40,9 @@ LOWEST, HIGHEST = -3.0, 7.0
 
 @dataclass(frozen=True)
 class FitLimits:
-    """Bounds of the training sample: labelled rows (those with the smallest hashes) and tokens kept (the most significant)."""
+    """Bound of the training sample: labelled rows (those with the smallest hashes)."""
 
     rows: int = 40_000
-    tokens: int = 50_000
 
 
 @dataclass
@@ -132,8 +132,19 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIF
     return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
-def _row_segments(scan: Scan, model: Model):
-    """For every row its number of words and its segments."""
+def _row_segments(data: np.ndarray, offsets: np.ndarray, model: Model):
+    """For every row of a slice its number of words and its segments."""
+    if is_long(data, offsets):
+        places, known, n = [], [], 0
+        for _, n, scan in piece_scans(data, NON_ALNUM):
+            scores = word_scores(scan, model)
+            at = np.flatnonzero(~np.isnan(scores))
+            places.append(at + n)
+            known.append(scores[at])
+            n += len(scores)
+        yield n, maximal_segments(np.concatenate(places), np.concatenate(known))
+        return
+    scan = Scan(data, offsets, NON_ALNUM)
     scores = word_scores(scan, model)
     known = np.flatnonzero(~np.isnan(scores))
     bounds = np.searchsorted(known, scan.first)
@@ -143,22 +154,32 @@ def _row_segments(scan: Scan, model: Model):
         yield n, maximal_segments(own - scan.first[i], scores[own]) if len(own) else []
 
 
+def _distinct_tokens(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, rows) of a scan, sorted by token, every token once a row."""
+    whole, prefixes = tokens_of(scan)
+    row = np.repeat(np.arange(len(scan.first) - 1), np.diff(scan.first))
+    pairs = [(row, whole), *((row[rows], h) for rows, h in prefixes)]
+    rows, tokens = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((rows, tokens))
+    rows, tokens = rows[order], tokens[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (rows[1:] != rows[:-1])
+    return tokens[new], rows[new]
+
+
 def _presence(batches):
     """Token counts over distinct labelled texts of a partition: (token, toxic, other)."""
     schema = pa.schema([("token", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-        for lo, hi, data, offs in slices(batch.column("text"), 1 << 21):
-            scan = Scan(data, offs, NON_ALNUM)
-            whole, prefixes = tokens_of(scan)
-            row = np.repeat(np.arange(hi - lo), np.diff(scan.first))
-            pairs = [(row, whole), *((row[rows], h) for rows, h in prefixes)]
-            rows, tokens = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            order = np.lexsort((rows, tokens))
-            rows, tokens = rows[order], tokens[order]
-            new = np.ones(len(rows), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (rows[1:] != rows[:-1])
-            rows, tokens = rows[new], tokens[new]
+        for lo, _, data, offs in slices(batch.column("text")):
+            if is_long(data, offs):
+                tokens = np.zeros(0, U64)
+                for *_, scan in piece_scans(data, NON_ALNUM):
+                    tokens = np.union1d(tokens, _distinct_tokens(scan)[0])
+                rows = np.zeros(len(tokens), np.int64)
+            else:
+                tokens, rows = _distinct_tokens(Scan(data, offs, NON_ALNUM))
             if not len(tokens):
                 continue
             begin = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1])
@@ -175,7 +196,7 @@ def _sample_segments(model: Model):
         for batch in batches:
             toxic = batch.column("toxic").to_pylist()
             for lo, _, data, offs in slices(batch.column("text")):
-                found = list(_row_segments(Scan(data, offs, NON_ALNUM), model))
+                found = list(_row_segments(data, offs, model))
                 yield pa.RecordBatch.from_arrays([pa.array([int(t > 0) for t in toxic[lo : lo + len(found)]], pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in seg] for _, seg in found], pa.list_(pa.float64()))], schema=schema)
 
     return run
@@ -197,7 +218,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, limits: FitLimits | None = None, held_out: bool = True) -> Model:
     """Fit on labelled documents; with ``held_out`` those whose crc32(doc_id as text) mod 4 is 2 are left out.
 
-    Null labels and ids do not count; several labels of a document count by the largest; equal texts count once.
+    Null labels, ids and texts do not count; several labels of a document count by the largest; equal texts count once
+    (by the largest label too). Without a labelled text of both kinds the model scores every text by the prior; so it does
+    for empty tables. Extra columns are ignored.
     """
     limits = limits or FitLimits()
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -210,13 +233,18 @@ def fit(docs: DataFrame, labels: DataFrame, limits: FitLimits | None = None, hel
         share = F.shiftrightunsigned(F.xxhash64("_id"), 11) < F.lit(int(limits.rows / total * (1 << 53)))
         known = known.where(share).limit(limits.rows + limits.rows // 10)  # never reached: the share is within a few hundredths
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = texts.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "toxic").where("text is not null")
-    train = stored(train.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h"), "train")
+    texts = texts.where("text is not null").withColumn("h", F.xxhash64("text"))
+    of_text = texts.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("h", "_id").agg(F.count("*").alias("k"), F.max("toxic").alias("toxic"))
+    once = stored(of_text.groupBy(F.col("h").alias("_h")).agg(F.min("_id").alias("_id"), F.max("k").alias("k"), F.max("toxic").alias("toxic")), "once")  # at most limits.rows short rows
+    train = texts.join(F.broadcast(once), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
+    if once.where("k > 1").limit(1).count():  # rows that are there more than once
+        train = train.dropDuplicates(["h"])
+    train = stored(train.select("text", "toxic"), "train")
     rows, toxic = train.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic or toxic == rows:
         return Model(offset=math.log((toxic or 0) + 0.5) - math.log(rows - (toxic or 0) + 0.5) if rows else -4.0)
     clean = rows - toxic
-    counts = train.mapInArrow(_presence, "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c"))
+    counts = mapped(train, _presence, "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c"))
     counts = stored(counts, "counts")
     vocabulary = counts.where("t + c > 1").count()
 
@@ -230,14 +258,16 @@ def fit(docs: DataFrame, labels: DataFrame, limits: FitLimits | None = None, hel
     odds = F.log((t + prior) / (toxic - t + prior)) - F.log((c + prior) / (clean - c + prior))
     kept = counts.where("t + c > 1").withColumns({"g2": g2, "odds": odds})
     kept = kept.where((F.col("g2") >= SIGNIFICANCE * math.log(max(vocabulary, 2))) & (F.abs("odds") >= EFFECT))
-    kept = kept.orderBy(F.desc("g2"), "token").limit(limits.tokens).toPandas()
+    kept = kept.select("token", "c", "odds").toPandas()  # significant tokens of a bounded number of texts
+    dropped(counts, once)
     if not len(kept):
         return Model(offset=math.log(toxic / clean))
     c, odds = kept["c"].to_numpy(float), kept["odds"].to_numpy(float)
     keys = kept["token"].to_numpy(np.int64).view(U64)
     order = np.argsort(keys)
     model = Model(keys[order], np.clip(odds, LOWEST, HIGHEST)[order])
-    sample = train.mapInArrow(_sample_segments(model), "toxic int, n long, segments array<double>").toPandas()  # at most limits.rows short rows
+    sample = mapped(train, _sample_segments(model), "toxic int, n long, segments array<double>").toPandas()  # at most limits.rows short rows
+    dropped(train)
     y, n, segments = sample["toxic"].to_numpy(float), sample["n"].to_numpy(), sample["segments"].tolist()
     best = np.array([max(s, default=0.0) for s in segments])
     negative = (y == 0) & (n > 0)
@@ -268,7 +298,7 @@ def _score(spread):
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
                 scores, passages = [], []
-                for n, found in _row_segments(Scan(data, offs, NON_ALNUM), model):
+                for n, found in _row_segments(data, offs, model):
                     scores.append(model.probability(model.evidence(found, n)))
                     passages.append([{"first_word": a, "last_word": b, "score": s, "p_value": model.p_value(s, n)} for a, b, s in found])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(scores, pa.float64()), pa.array(passages, pa.list_(segment))], schema=schema)
@@ -284,7 +314,7 @@ def score_toxicity(docs: DataFrame, model: Model, significant: float = 0.05) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.mapInArrow(_score(spread), "doc_id long, score double, segments array<struct<first_word: long, last_word: long, score: double, p_value: double>>")
+    out = mapped(docs, _score(spread), "doc_id long, score double, segments array<struct<first_word: long, last_word: long, score: double, p_value: double>>")
     return out.select("doc_id", "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"), F.filter("segments", lambda s: s["p_value"] <= significant).alias("passages"))
 
 
@@ -294,12 +324,15 @@ def _keep_clean(spread):
         for batch in batches:
             mask = []
             for _, _, data, offs in slices(batch.column("text")):
-                mask += [model.probability(model.evidence(found, n)) < 0.3 for n, found in _row_segments(Scan(data, offs, NON_ALNUM), model)]
+                mask += [model.probability(model.evidence(found, n)) < 0.3 for n, found in _row_segments(data, offs, model)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return run
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that ``score_toxicity`` predicts 0, columns as they are."""
-    return docs.mapInArrow(_keep_clean(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    """The rows of ``docs`` that ``score_toxicity`` predicts 0, columns as they are, whatever their names.
+
+    Null and empty texts stay if the prior is under 0.3; repeated rows stay or go together; an empty table gives none.
+    """
+    return mapped(docs, _keep_clean(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
