@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .audio import audio_digests, with_audio
 from .chat import conversation_digests, format_conversations
 from .decontaminate import benchmark_leaks
-from .html_text import extract_pages
+from .html_text import extract_pages, fit_weights
 from .licenses import scan_licenses
 from .mixing import mix_to_targets
 from .ngram_join import ngram_jaccard_groups
@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    return extract_pages(pages, fit_weights(pages))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
