@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import mapped
+
 #: Bytes that a payload is padded to a multiple of.
 UNIT = 192
 
@@ -203,10 +205,13 @@ def _encode(spec: AudioSpec):
 
 
 def with_audio(docs: DataFrame, spec: AudioSpec | None = None) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded with spaces to a positive multiple of 192, as the samples of a WAV. Null is empty."""
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded with spaces to a positive multiple of 192, as the samples of a WAV.
+
+    Null is empty; repeated rows repeat; an empty table gives none; extra columns, ``media`` and ``n_bytes`` among them, are ignored.
+    """
     spec = spec or AudioSpec()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_encode(spec), "doc_id long, n_bytes long, media binary")
+    return mapped(docs, _encode(spec), "doc_id long, n_bytes long, media binary")
 
 
 TENSOR_FIELDS = "doc_id long, part int, start_s double, end_s double, log_mel array<float>"
@@ -215,7 +220,7 @@ TENSOR_FIELDS = "doc_id long, part int, start_s double, end_s double, log_mel ar
 def audio_tensors(media: DataFrame, spec: AudioSpec | None = None) -> DataFrame:
     """One row per tensor of each recording (doc_id, media): part, its time span and the flat [tensor_frames * mels] values.
 
-    A null recording gives no row; the values become tensors again by ``tensor_array``. The
+    A null recording gives no row, repeated rows repeat, extra columns are ignored; the values become tensors again by ``tensor_array``. The
     column's metadata say, as Arrow's canonical extension type does, that they are
     fixed-shape tensors, and of which shape.
     """
@@ -237,7 +242,7 @@ def audio_tensors(media: DataFrame, spec: AudioSpec | None = None) -> DataFrame:
                     part += n
 
     kind = {"ARROW:extension:name": "arrow.fixed_shape_tensor", "ARROW:extension:metadata": json.dumps({"shape": [spec.tensor_frames, spec.mels]})}
-    return media.select("doc_id", "media").mapInArrow(run, TENSOR_FIELDS).withMetadata("log_mel", kind)
+    return mapped(media.select("doc_id", "media"), run, TENSOR_FIELDS).withMetadata("log_mel", kind)
 
 
 def feature_text(samples: np.ndarray, rate: int, spec: AudioSpec) -> str:
@@ -286,7 +291,8 @@ def _digest(spec: AudioSpec):
 def audio_digests(media: DataFrame, spec: AudioSpec | None = None) -> DataFrame:
     """Per recording of ``with_audio``: what is read back from the stored bytes, and the features' short form.
 
-    Equal texts give equal values, since each recording is computed by itself; repeated rows repeat, an empty table gives none.
+    Equal texts give equal values, since each recording is computed by itself; repeated rows repeat, an
+    empty table gives none; extra columns are ignored.
     """
     spec = spec or AudioSpec()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest(spec), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(media.select("doc_id", "n_bytes", "media"), _digest(spec), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

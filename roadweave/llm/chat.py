@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import as_binary
+from .tables import as_binary, mapped
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 ASSISTANT = b"assistant"
-#: Turns are assembled in slices of about so many bytes.
-ASSEMBLE_BYTES = 8 << 20
+#: Turns are assembled in slices of about so many bytes; a text longer than COPIED_BYTES is copied without scatter indices.
+ASSEMBLE_BYTES, COPIED_BYTES = 4 << 20, 1 << 16
 
 
 def escape_texts(column: pa.Array) -> pa.Array:
@@ -71,6 +71,9 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     starts = ends - lengths
     out = np.empty(int(ends[-1, -1]) if n else 0, np.uint8)
     for k, (source, at, length) in enumerate(pieces):
+        for i in np.flatnonzero(length > COPIED_BYTES):  # a long text is copied as one run, without an index for each byte
+            out[starts[i, k] : starts[i, k] + length[i]] = source[at[i] : at[i] + length[i]]
+        length = np.where(length > COPIED_BYTES, 0, length)
         run = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         out[np.repeat(starts[:, k], length) + run] = source[np.repeat(at, length) + run]
     return out, np.concatenate([[0], ends[:, -1]]) if n else np.zeros(1, np.int64), starts[:, 3], text_len
@@ -113,22 +116,30 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns follow by turn (null last), ties by role, then text; null roles and texts are
     empty, null conv_ids one conversation. A conversation's output is its parts in order,
-    each within one slice of turns, so one of any length is streamed; parts of one
-    conversation stand together in one partition. The loss mask has the byte ranges of
+    each within one slice of turns, so one of any length is streamed turn by turn (a turn is
+    one row and held whole); parts of one conversation stand together in one partition. The loss mask has the byte ranges of
     the texts of role ``assistant``. An empty table gives no row; extra columns are ignored.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format, FIELDS)
+    return mapped(rows.select("conv_id", "role", "text"), _format, FIELDS)
 
 
 def parse_turns(formatted: bytes):
-    """(role, text) of every turn of a formatted part."""
-    for piece in formatted.split(START)[1:]:
-        if not piece.endswith(END):
+    """(role, text) of every turn of a formatted part, one after another."""
+    at = 0
+    while at < len(formatted):
+        role_end, end = formatted.find(b"\n", at), formatted.find(END, at)
+        if not formatted.startswith(START, at) or not 0 <= role_end < end:
             raise ValueError("a turn is not closed")
-        role, text = piece[: -len(END)].split(b"\n", 1)
-        yield unescape_role(role), unescape_text(text)
+        yield unescape_role(formatted[at + len(START) : role_end]), unescape_text(formatted[role_end + 1 : end])
+        at = end + len(END)
+
+
+def code_points(text: bytes) -> int:
+    """Characters of UTF-8 bytes."""
+    data = np.frombuffer(text, np.uint8)
+    return sum(int(((data[lo : lo + ASSEMBLE_BYTES] & 0xC0) != 0x80).sum()) for lo in range(0, len(data), ASSEMBLE_BYTES))
 
 
 def _digests(batches):
@@ -148,15 +159,15 @@ def _digests(batches):
                 if state:
                     done.append(closed(state))
                 state = {"conv_id": conv_id, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
-            formatted = batch.column("formatted")[i].as_py()
-            state["chars"] += len(formatted.decode())
+            formatted = batch.column("formatted")[i].as_buffer().to_pybytes()
+            state["chars"] += code_points(formatted)
             for role, text in parse_turns(formatted):
                 state["n"] += 1
                 state["turns"].update(role + b"\n" + text + b"\n")
             for a, b in zip(batch.column("loss_starts")[i].as_py(), batch.column("loss_ends")[i].as_py(), strict=True):
                 text = unescape_text(formatted[a:b])
                 state["loss"].update(text)
-                state["loss_chars"] += len(text.decode())
+                state["loss_chars"] += code_points(text)
         if len(done) >= 1000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], schema=schema)
             done = []
@@ -166,5 +177,5 @@ def _digests(batches):
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from the output of ``format_conversations``, one row a conversation."""
-    return formatted.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """What is read back from the output of ``format_conversations`` (its rows in their order), one row a conversation; no rows give none."""
+    return mapped(formatted, _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

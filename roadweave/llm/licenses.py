@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import slices
-from .words import NON_ALNUM, Scan, hash_words
+from .tables import mapped, slices
+from .words import NON_ALNUM, Words, hash_words
 
 #: Phrases that give a base label wherever their words stand consecutively (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -154,9 +154,9 @@ def _scan(phrases: dict[str, str], templates: dict[str, str]):
         automata = [(_automaton(t), label) for label, t in templates.items()]
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
-                scan = Scan(data, offs, NON_ALNUM)
-                h, first, n = scan.hashes(), scan.first, hi - lo
-                row = np.repeat(np.arange(n), np.diff(first))
+                own = Words(data, offs, NON_ALNUM)
+                h, first, n = own.h, own.first, hi - lo
+                row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
                 count, low, high = np.zeros(n, np.int64), np.full(n, len(h)), np.full(n, -1)
                 base: list[set[str]] = [set() for _ in range(n)]
                 for words, label in wanted:
@@ -198,8 +198,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     have none. n_base counts all places of all phrases, first_word and last_word are the
     smallest and largest of their starts (null without one). labels adds to the base ones
     those of accepted templates; score is 1 with an accepted template, 0.5 with base
-    phrases only, else 0. Repeated rows repeat; extra columns are ignored.
+    phrases only, else 0. Repeated rows repeat; an empty table gives none; extra columns are ignored. Of a
+    long text only the hashes of its words are held.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.mapInArrow(_scan(phrases or PHRASES, templates or TEMPLATES), fields)
+    return mapped(docs, _scan(phrases or PHRASES, templates or TEMPLATES), fields)

@@ -9,7 +9,9 @@ separator counts and last separators stitches the documents that cross block bor
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import stored
+from .tables import mapped, stored
 
 #: Default vocabulary (50,256 byte-level ranks; the id after them is free and serves as separator).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,6 +38,23 @@ def tokenizer(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A longer text is encoded in pieces of about so many characters, cut at a single space between two words: there the pattern always ends a token.
+ENCODE_CHARS = 1 << 20
+_BETWEEN = re.compile(r"(?<=\w) (?=\w)")
+
+
+def encoded(encode, text: str):
+    """Runs of token ids of a text, the same that ``encode`` gives for it as a whole."""
+    at = 0
+    while len(text) - at > ENCODE_CHARS:
+        cut = _BETWEEN.search(text, at + ENCODE_CHARS - 1)
+        if not cut:
+            break
+        yield np.array(encode(text[at : cut.start()]), np.uint16)
+        at = cut.start()
+    yield np.array(encode(text[at:] if at else text), np.uint16)
+
+
 STREAM = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(T.LongType()))])
 
 
@@ -48,6 +67,7 @@ def _write(path: str, separator: int, block_tokens: int):
         file, encode = TaskContext.get().partitionId(), tokenizer(path).encode_ordinary
         held: list[np.ndarray] = []
         size = block = 0
+        end = np.array([separator], np.uint16)
         ids: list = []
         first = 0
 
@@ -56,17 +76,17 @@ def _write(path: str, separator: int, block_tokens: int):
 
         for batch in batches:
             for i in range(batch.num_rows):
-                tokens = np.array(encode(batch.column("text")[i].as_py() or "") + [separator], np.uint16)
                 ids.append(batch.column("doc_id")[i].as_py())
-                held.append(tokens)
-                size += len(tokens)
-                if size >= block_tokens:
-                    joined = np.concatenate(held)
-                    for at in range(0, size - block_tokens + 1, block_tokens):
-                        yield row(block, joined[at : at + block_tokens].tobytes(), None)
-                        block += 1
-                    held = [joined[size // block_tokens * block_tokens :]]
-                    size = len(held[0])
+                for tokens in chain(encoded(encode, batch.column("text")[i].as_py() or ""), [end]):
+                    held.append(tokens)
+                    size += len(tokens)
+                    if size >= block_tokens:
+                        joined = np.concatenate(held)
+                        for at in range(0, size - block_tokens + 1, block_tokens):
+                            yield row(block, joined[at : at + block_tokens].tobytes(), None)
+                            block += 1
+                        held = [joined[size // block_tokens * block_tokens :]]
+                        size = len(held[0])
                 if len(ids) >= 10_000:
                     yield row(first, None, ids)
                     first, ids = first + len(ids), []
@@ -84,19 +104,26 @@ def write_stream(docs: DataFrame, path: str = VOCABULARY, separator: int = SEPAR
     Blocks have ``block_tokens`` little-endian 16-bit ids wherever documents end; the manifest only has the order of the ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_write(path, separator, block_tokens), STREAM), "tokens")
+    rows = stored(mapped(docs, _write(path, separator, block_tokens), STREAM), "tokens")
     blocks = rows.where("data is not null").select("file", "block", "data")
     manifest = rows.where("ids is not null").select("file", "block", F.posexplode("ids").alias("at", "doc_id"))
     return blocks, manifest.select("file", (F.col("block") + F.col("at")).alias("ordinal"), "doc_id")
 
 
 def read_files(spark, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
-    """Blocks (file, block, data) of real flat files, each small enough to be one row (under 2 GB); file is the path."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
+    """Blocks (file, block, data) of real flat files, each small enough to be one row (under 2 GB); file is the path. An empty file has no block."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     size = block_tokens * width
-    at = F.expr(f"sequence(0L, greatest(0L, (length - 1) div {size}))")
-    cut = files.where("length > 0").select("file", "content", F.explode(at).alias("block"))
-    return cut.select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("data"))
+
+    def cut(batches):
+        schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("data", pa.binary())])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content = batch.column("content")[i].as_buffer()
+                for block, at in enumerate(range(0, content.size, size)):
+                    yield pa.RecordBatch.from_arrays([batch.column("file").slice(i, 1), pa.array([block], pa.int64()), pa.array([content.slice(at, min(size, content.size - at)).to_pybytes()], pa.binary())], schema=schema)
+
+    return mapped(files, cut, "file string, block long, data binary")
 
 
 def _separators(separator: int, dtype: str):
@@ -126,7 +153,8 @@ def token_counts(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u
     """
     fields = f"file {blocks.schema['file'].dataType.simpleString()}, block long, n long, seps array<int>"
     data = F.coalesce("data", F.lit(b""))
-    found = stored(blocks.select("file", F.col("block").cast("long").alias("block"), data.alias("data")).mapInArrow(_separators(separator, dtype), fields), "separators")
+    rows = blocks.select("file", F.col("block").cast("long").alias("block"), data.alias("data"))
+    found = stored(mapped(rows, _separators(separator, dtype), fields), "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     last = F.when(F.size("seps") > 0, F.col("base") + F.element_at("seps", -1))
@@ -144,7 +172,8 @@ def token_counts(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u
 def document_token_counts(docs: DataFrame, path: str = VOCABULARY, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Return (doc_id, n_tokens, file, first_token), one row per row of ``docs``: written as flat token files, then counted by their separators.
 
-    Null and empty texts have no token; special strings in a text are ordinary text; repeated rows repeat; an empty table gives none.
+    Null and empty texts have no token; special strings in a text are ordinary text; repeated rows repeat; an empty table
+    gives none; extra columns are ignored. A long text is encoded in pieces.
     """
     blocks, manifest = write_stream(docs, path, separator, block_tokens)
     counted = token_counts(blocks, separator)
