@@ -50,7 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item (operator 6)."""
-    return _without(docs, benchmark_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id"))
+    return _without(docs, benchmark_leaks(docs, read(spark, sf_dir, "benchmark"), short_items=True).select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
