@@ -46,6 +46,5 @@ class PlannerConfig:
     max_days: int = 5
     rebalance_rounds: int = 10
     rebalance_stop: float = 0.15
-    #: Largest road graph (edges) and shortest-path matrix (cells) that are broadcast, some 40 and 24 bytes each; larger areas are planned region by region.
+    #: Largest road graph (edges, some 40 bytes each) that is broadcast; a larger area is refused.
     max_graph_edges: int = 20_000_000
-    max_matrix_cells: int = 20_000_000

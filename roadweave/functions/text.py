@@ -54,7 +54,16 @@ def padded(number: Column, width: Column) -> Column:
     return F.lpad(text, F.greatest(width, F.length(text)), F.lit("0"))
 
 
+#: What no XML holds, and ampersands that begin none of XML's five names or a number (fixed values).
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
+
+
 def repair_xml(text: Column) -> Column:
     """Control characters removed and bare ampersands escaped."""
-    clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return F.regexp_replace(clean, r"&(?!(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#x[0-9a-fA-F]+);)", "&amp;")
+    return F.regexp_replace(F.regexp_replace(text, NOT_XML, ""), BARE_AMPERSAND, "&amp;")
+
+
+def fixed(number: Column, digits: int) -> Column:
+    """Decimal text with ``digits`` places, halves to even."""
+    return F.format_string(f"%.{digits}f", F.bround(number.cast("double"), digits))

@@ -80,7 +80,7 @@ def roll_up(parts: DataFrame, sections: DataFrame, config: PlannerConfig = Plann
     rows = parts.join(sections, "section_id").select("chain_id", "pos", piece.alias("piece"), "name", "oneway", "length_m", geo.drive_seconds(F.col("length_m"), speed).alias("time_s"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "piece")))
     out = rows.groupBy("chain_id").agg(
-        F.flatten(F.transform(ordered, lambda x: x["piece"])).alias("coords"), F.bool_or(F.coalesce("oneway", F.lit(False))).alias("oneway"), F.min_by("name", "pos").alias("first"), F.max_by("name", "pos").alias("last"),
+        F.flatten(ordered["piece"]).alias("coords"), F.bool_or(F.coalesce("oneway", F.lit(False))).alias("oneway"), F.min_by("name", "pos").alias("first"), F.max_by("name", "pos").alias("last"),
         F.sum("length_m").alias("length_m"), F.sum("time_s").alias("time_s"), F.count("*").cast("int").alias("n_parts"),
     )
     name = F.when(F.col("n_parts") == 1, F.col("first")).otherwise(F.concat(F.col("first"), F.lit(" … "), F.col("last"), F.lit(" ("), F.col("n_parts").cast("string"), F.lit(" sections)")))

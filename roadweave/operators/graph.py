@@ -7,11 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..config import PlannerConfig
 from ..functions import geo, text
+from .ranking import ranked
 from .spatial import nearest_node
 
 #: Order in which kinds of roads enter the graph.
@@ -47,14 +49,10 @@ def both_directions(hops: DataFrame) -> DataFrame:
 
 
 def node_table(hops: DataFrame) -> DataFrame:
-    """(node_id, lat, lon, stage): ids in order of first appearance, a hop's start before its end.
-
-    The ids are dense over all nodes: a graph is broadcast later on, so its node list fits one sorted task too.
-    """
+    """(node_id, lat, lon, stage): dense ids in order of first appearance, a hop's start before its end."""
     ends = F.array(*[F.struct(F.col(c).alias("p"), F.struct("stage", "r1", "r2", "pos", F.lit(i).alias("side")).alias("seen")) for i, c in enumerate("ab")])
     first = hops.select(F.explode(ends).alias("e")).groupBy("e.p").agg(F.min("e.seen").alias("seen"))
-    number = F.row_number().over(Window.orderBy("seen")) - 1
-    return first.select(number.cast("long").alias("node_id"), "p.lat", "p.lon", "seen.stage")
+    return ranked(first, "node_id", "seen").select("node_id", "p.lat", "p.lon", "seen.stage")
 
 
 def cheapest_edges(directed: DataFrame, order: str = "seen") -> DataFrame:
@@ -76,17 +74,27 @@ def numbered_edges(hops: DataFrame, nodes: DataFrame) -> DataFrame:
     return cheapest_edges(directed.where("src <> dst"))
 
 
-def build_graph(parts: DataFrame, sections: DataFrame, collected: DataFrame, chains: DataFrame, ways: DataFrame | None, depot: tuple[float, float] | None = None, config: PlannerConfig = PlannerConfig()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of survey roads and ways, every chain end linked to its nearest way node, the depot to the nearest node of all."""
-    hops = survey_hops(parts, sections, collected, config)
+def chain_links(chains: DataFrame, of_ways: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
+    """(a, b, d): every chain end with its nearest way node and the distance."""
+    ends = chains.select(F.explode(F.array(F.element_at("coords", 1), F.element_at("coords", -1))).alias("p")).distinct()
+    points = ends.withColumn("id", F.struct(F.col("p.lat"), F.col("p.lon")))
+    linked = nearest_node(points, of_ways, config).join(of_ways.select("node_id", F.struct("lat", "lon").alias("b")), "node_id")
+    return linked.select(F.col("id").alias("a"), "b", "d")
+
+
+def link_stats(links: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
+    """One row: links, those over the tolerance, and the longest of these (0 without one)."""
+    far = F.col("d") > config.link_cell_m
+    return links.agg(F.count("*").alias("links"), F.count_if(far).alias("far_links"), F.coalesce(F.max(F.when(far, F.col("d"))), F.lit(0.0)).alias("longest_m"))
+
+
+def build_graph(parts: DataFrame, sections: DataFrame, collected: DataFrame, chains: DataFrame, ways: DataFrame | None, depot: tuple[float, float] | None = None, config: PlannerConfig = PlannerConfig()) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(nodes, edges, links) of survey roads and ways, every chain end linked to its nearest way node, the depot to the nearest node of all."""
+    hops, links = survey_hops(parts, sections, collected, config), None
     if ways is not None:
         hops = hops.unionByName(way_hops(ways))
-        nodes = node_table(hops)
-        ends = chains.select(F.explode(F.array(F.element_at("coords", 1), F.element_at("coords", -1))).alias("p")).distinct()
-        of_ways = nodes.where(F.col("stage") == WAY)
-        points = ends.withColumn("id", F.struct(F.col("p.lat"), F.col("p.lon")))
-        linked = nearest_node(points, of_ways, config).join(of_ways.select("node_id", F.struct("lat", "lon").alias("b")), "node_id")
-        hops = hops.unionByName(_link_hops(linked.select(F.col("id").alias("a"), "b", "d"), LINK, config))
+        links = checkpointed(chain_links(chains, checkpointed(node_table(hops).where(F.col("stage") == WAY)), config))
+        hops = hops.unionByName(_link_hops(links, LINK, config))
     if depot:
         nodes = node_table(hops)
         at = geo.point(F.lit(depot[0]), F.lit(depot[1]))
@@ -95,7 +103,7 @@ def build_graph(parts: DataFrame, sections: DataFrame, collected: DataFrame, cha
         best = best.select(at.alias("a"), "b", geo.haversine(at, F.col("b")).alias("d")).where("a <> b")
         hops = hops.unionByName(_link_hops(best, DEPOT, config))
     nodes = node_table(hops)
-    return nodes, numbered_edges(hops, nodes)
+    return nodes, numbered_edges(hops, nodes), links
 
 
 def _link_hops(links: DataFrame, stage: int, config: PlannerConfig) -> DataFrame:

@@ -12,6 +12,10 @@ from ..functions import geo
 from .components import components
 
 
+#: Metres of a degree of latitude at least.
+LEAST_M_PER_DEGREE = 111_000.0
+
+
 def bucketed(df: DataFrame, p: Column, size: float) -> DataFrame:
     """Add the cell (cx, cy) of a point."""
     return df.withColumns({"cx": geo.cell(p["lat"], size), "cy": geo.cell(p["lon"], size)})
@@ -37,27 +41,39 @@ def nearest_way_speed(sections: DataFrame, ways: DataFrame, config: PlannerConfi
     """
     size = config.speed_cell_deg
     mid = sections.select("section_id", geo.middle(F.col("coords")).alias("a"))
-    dealt = mid.withColumn("_at", F.explode(geo.around(F.col("a"), size))).select("section_id", "a", "_at.cx", "_at.cy")
-    vertices = ways.select("way_id", "speed_kmh", F.explode("geometry").alias("v"))
-    cells = bucketed(vertices, F.col("v"), size).select("way_id", "cx", "cy").distinct()
-    met = dealt.join(cells, ["cx", "cy"]).select("section_id", "a", "way_id").distinct()
-    reached = met.join(vertices, "way_id").groupBy("section_id", "way_id", "speed_kmh").agg(F.min(geo.haversine(F.col("a"), F.col("v"))).alias("d"))
-    best = reached.where(F.col("d") < config.speed_match_m).groupBy("section_id").agg(F.min_by(F.struct("speed_kmh", "d"), F.struct("d", "way_id")).alias("m"))
-    return best.select("section_id", "m.speed_kmh", "m.d")
+    # sections share middles; a way stands in each cell that one of its vertices is in, with all of them
+    dealt = mid.select("a").distinct().withColumn("_at", F.explode(geo.around(F.col("a"), size))).select("a", "_at.cx", "_at.cy")
+    own = F.array_distinct(F.transform("geometry", lambda v: F.struct(geo.cell(v["lat"], size).alias("cx"), geo.cell(v["lon"], size).alias("cy"))))
+    cells = ways.select("way_id", "speed_kmh", "geometry", F.explode(own).alias("_at")).select("way_id", "speed_kmh", "geometry", "_at.cx", "_at.cy")
+    reached = dealt.join(cells, ["cx", "cy"]).withColumn("d", F.array_min(F.transform("geometry", lambda v: geo.haversine(F.col("a"), v))))
+    best = reached.where(F.col("d") < config.speed_match_m).groupBy("a").agg(F.min_by(F.struct("speed_kmh", "d"), F.struct("d", "way_id")).alias("m"))
+    return mid.join(best, "a").select("section_id", "m.speed_kmh", "m.d")
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
     """(id, node_id, d) for rows (id, p): the nearest node of the 3 x 3 cells, else the nearest of all.
 
-    Ties go to the cell of lower rank, then the smaller node_id. The second phase takes only the points that the grid left without a node.
+    Ties go to the cell of lower rank, then the smaller node_id. The second phase takes only the points that the grid left
+    without a node: cells grow until each has a node at a distance that they cover. Without nodes there is no row.
     """
     size = config.link_cell_m / M_PER_DEGREE
     left = points.select("id", F.col("p").alias("a"))
     right = nodes.select("node_id", F.struct("lat", "lon").alias("b"))
     close = near_pairs(left, right, size).groupBy("id").agg(F.min_by(F.struct("node_id", "d"), F.struct("d", "rank", "node_id")).alias("m"))
-    far = left.join(close.select("id"), "id", "left_anti").crossJoin(right).withColumn("d", geo.haversine(F.col("a"), F.col("b")))
-    far = far.groupBy("id").agg(F.min_by(F.struct("node_id", "d"), F.struct("d", "node_id")).alias("m"))
-    return close.unionByName(far).select("id", "m.node_id", "m.d")
+    out = checkpointed(close)
+    rest = checkpointed(left.join(out.select("id"), "id", "left_anti"))
+    some = right.limit(1).count() > 0
+    while some and rest.limit(1).count():
+        size *= 8
+        found = near_pairs(rest, right, size) if size < 45 else rest.crossJoin(right).withColumn("d", geo.haversine(F.col("a"), F.col("b")))
+        found = found.groupBy("id").agg(F.min_by(F.struct("node_id", "d"), F.struct("d", "node_id")).alias("m"))
+        if size < 45:  # in every direction the neighbouring cells reach at least this far, degrees of longitude being shorter
+            met = found.join(rest, "id")
+            reach = F.lit(size * LEAST_M_PER_DEGREE) * F.cos(F.radians(F.least(F.abs("a.lat") + 2 * size, F.lit(90.0))))
+            found = met.where((F.col("m.d") <= reach) & (F.abs("a.lon") + 2 * size < 180)).select("id", "m")
+        found = checkpointed(found)
+        out, rest = out.unionByName(found), checkpointed(rest.join(found.select("id"), "id", "left_anti"))
+    return out.select("id", "m.node_id", "m.d")
 
 
 def depot_nearest(depot: tuple[float, float], nodes: DataFrame) -> DataFrame:

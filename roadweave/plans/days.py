@@ -7,11 +7,13 @@ import math
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..config import MILES_PER_M, PlannerConfig
 from ..functions import geo
+from ..operators.ranking import ranked
 from .walk import Network, solve_day, trimmed
 
 TURN = 2 * math.pi
@@ -24,9 +26,11 @@ def with_bearing(chains: DataFrame, depot: Column) -> DataFrame:
 
 def circular_gaps(chains: DataFrame, angle: str = "bearing", tie: str = "chain_id") -> DataFrame:
     """Add ``rn`` (sweep order from 1) and ``gap`` to the next angle, the last one's to the first."""
-    order = Window.orderBy(angle, tie)
-    out = chains.withColumns({"rn": F.row_number().over(order), "_next": F.lead(angle).over(order), "_first": F.first(angle).over(order)})
-    return out.withColumn("gap", F.pmod(F.coalesce("_next", "_first") - F.col(angle), F.lit(TURN))).drop("_next", "_first")
+    swept = checkpointed(ranked(chains.select(angle, tie), "rn", angle, tie).withColumn("rn", F.col("rn") + 1))
+    n = swept.count()
+    following = swept.select(F.when(F.col("rn") == 1, F.lit(n)).otherwise(F.col("rn") - 1).alias("rn"), F.col(angle).alias("_next"))
+    gaps = swept.join(following, "rn").select(tie, "rn", F.pmod(F.col("_next") - F.col(angle), F.lit(TURN)).alias("gap"))
+    return chains.join(gaps, tie).select(*chains.columns, "rn", "gap")
 
 
 def seam_rotation(gapped: DataFrame) -> DataFrame:
@@ -37,10 +41,10 @@ def seam_rotation(gapped: DataFrame) -> DataFrame:
 
 def wedges(turned: DataFrame, days: int) -> DataFrame:
     """Add ``day`` (from 0): the bucket of the cumulative middle of time_s."""
-    before = F.coalesce(F.sum("time_s").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    total = F.sum("time_s").over(Window.partitionBy())
-    at = F.try_divide(before + F.col("time_s") / 2, total / days)
-    return turned.withColumn("day", F.least(F.coalesce(F.floor(at), F.lit(0)), F.lit(days - 1)).cast("int"))
+    total = turned.agg(F.sum("time_s")).first()[0]
+    at = F.try_divide(F.col("_before") + F.col("time_s") / 2, F.lit(total) / days)
+    out = ranked(turned, "_at", "turn", _before="time_s").withColumn("day", F.least(F.coalesce(F.floor(at), F.lit(0)), F.lit(days - 1)).cast("int"))
+    return out.drop("_at", "_before")
 
 
 def fill_empty(groups: list[list[int]]) -> list[list[int]]:
@@ -65,6 +69,13 @@ def sweep_partition(chains: DataFrame, depot: tuple[float, float], days: int) ->
     return fill_empty(groups)
 
 
+def day_estimate(sections: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
+    """One row (hours, days): collecting time of the sections' length_m, and the days to begin with, of which collecting takes a share."""
+    hours = F.coalesce(F.sum("length_m"), F.lit(0.0)) * MILES_PER_M / config.collect_mph
+    days = F.greatest(F.lit(1), F.least(F.lit(config.max_days), F.ceil(F.col("hours") / (config.shift_hours * config.collection_share))))
+    return sections.agg(hours.alias("hours")).select("hours", days.cast("int").alias("days"))
+
+
 def estimated_days(survey_m: float, days: int | None, config: PlannerConfig) -> tuple[int, int]:
     """(days to begin with, most days)."""
     most = days or config.max_days
@@ -153,12 +164,17 @@ def plan_groups(spark: SparkSession, chains: DataFrame, depot: tuple[float, floa
     return solved, filler
 
 
-def day_table(spark: SparkSession, solved: list[dict]) -> DataFrame:
-    """One row a day: hours, miles, efficiency, jumps and one-way exceptions."""
-    rows = [(i + 1, d["hours"], d["survey_m"], d["deadhead_m"], d["return_m"], d["return_s"], d["jumps"], d["wrong_way"], d["wrong_way_return"], len(d["members"])) for i, d in enumerate(solved)]
-    days = spark.createDataFrame(rows, "day int, hours double, survey_m double, deadhead_m double, return_m double, return_s double, jumps int, wrong_way int, wrong_way_return boolean, runs int")
+def day_metrics(days: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
+    """Add miles, efficiency and hours at the observed paces to rows with survey_m, deadhead_m and return_m."""
     survey, deadhead = F.col("survey_m") * MILES_PER_M, (F.col("deadhead_m") + F.col("return_m")) * MILES_PER_M
-    return days.withColumns({"survey_mi": survey, "deadhead_mi": deadhead, "total_mi": survey + deadhead, "efficiency": F.coalesce(F.try_divide(survey * 100, survey + deadhead), F.lit(0.0))})
+    efficiency = F.coalesce(F.try_divide(survey * 100, survey + deadhead), F.lit(0.0))
+    return days.withColumns({"survey_mi": survey, "deadhead_mi": deadhead, "total_mi": survey + deadhead, "efficiency": efficiency, "hours": survey / config.collect_mph + deadhead / config.transfer_mph})
+
+
+def day_table(spark: SparkSession, solved: list[dict], config: PlannerConfig = PlannerConfig()) -> DataFrame:
+    """One row a day: hours, miles, efficiency, jumps and one-way exceptions."""
+    rows = [(i + 1, d["survey_m"], d["deadhead_m"], d["return_m"], d["return_s"], d["jumps"], d["wrong_way"], d["wrong_way_return"], len(d["members"])) for i, d in enumerate(solved)]
+    return day_metrics(spark.createDataFrame(rows, "day int, survey_m double, deadhead_m double, return_m double, return_s double, jumps int, wrong_way int, wrong_way_return boolean, runs int"), config)
 
 
 def day_balance(days: DataFrame) -> DataFrame:

@@ -9,6 +9,11 @@ from ..config import FEET_PER_M, PlannerConfig
 from ..functions import geo, text
 
 
+def section_ref(collid, name):
+    """How plans and files call a section: its collection id, else its name."""
+    return F.coalesce(F.nullif(collid, F.lit("")), name)
+
+
 def visits(legs: DataFrame, parts: DataFrame, sections: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
     """One row a section in drive order: (day, order, leg_no, section_id, reversed, dh_m, dh_s, time_s, eta_s).
 
@@ -26,20 +31,21 @@ def visits(legs: DataFrame, parts: DataFrame, sections: DataFrame, config: Plann
     moved = F.col("first") & (F.col("dh_m") > 0)
     return one.select(
         "day", "order", "leg_no", "section_id", "reversed", F.when(moved, F.col("dh_m")).alias("dh_m"), F.when(moved, F.col("dh_s")).alias("dh_s"), "time_s", eta.alias("eta_s"),
-        F.when(F.col("reversed") != F.col("digitized_reversed"), "D").otherwise("I").alias("dir_out"), F.lead(F.coalesce("collid", "name")).over(drive).alias("next_segment"), "length_m",
+        F.when(F.col("reversed") != F.col("digitized_reversed"), "D").otherwise("I").alias("dir_out"), F.lead(section_ref(F.col("collid"), F.col("name"))).over(drive).alias("next_segment"), "length_m",
     )
 
 
 def labelled(visited: DataFrame) -> DataFrame:
-    """Add the padded rank (four digits or more) and the length in feet."""
-    width = F.greatest(F.lit(4), F.length(F.count("*").over(Window.partitionBy("day")).cast("string")))
-    return visited.withColumns({"rank": text.padded(F.col("order"), width), "length_ft": F.round(F.col("length_m") * FEET_PER_M, 1)})
+    """Add the day's number of visits, the padded rank (four digits or more) and the length in feet."""
+    counted = visited.withColumn("visits", F.count("*").over(Window.partitionBy("day")))
+    width = F.greatest(F.lit(4), F.length(F.col("visits").cast("string")))
+    return counted.withColumns({"rank": text.padded(F.col("order"), width), "length_ft": F.round(F.col("length_m") * FEET_PER_M, 1)})
 
 
 def leg_times(legs: DataFrame) -> DataFrame:
-    """Add eta_s (time of all legs before) and the route slice up to the next leg's start."""
+    """Add eta_s (time of all legs before) and the end of the route slice: the next leg's start, the last one's route_points (the route's length)."""
     order = Window.partitionBy("day").orderBy("leg_no")
-    return legs.withColumns({"eta_s": F.coalesce(F.sum("time_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "end_index": F.lead("start_index").over(order)})
+    return legs.withColumns({"eta_s": F.coalesce(F.sum("time_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "end_index": F.coalesce(F.lead("start_index").over(order), "route_points")})
 
 
 def leg_totals(legs: DataFrame) -> DataFrame:
@@ -49,8 +55,8 @@ def leg_totals(legs: DataFrame) -> DataFrame:
     )
 
 
-def token_lines(visited: DataFrame, per_line: int = 10) -> DataFrame:
+def token_lines(visited: DataFrame, per_line: int = 10, between: str = " ") -> DataFrame:
     """(day, line_no, line): tokens {id}{I|D} in drive order, ten a line."""
-    ids = visited.withColumns({"line_no": F.floor((F.col("order") - 1) / per_line).cast("long"), "token": F.concat(F.coalesce("collid", "name"), F.col("dir_out"))})
+    ids = visited.withColumns({"line_no": F.floor((F.col("order") - 1) / per_line).cast("long"), "token": F.concat(section_ref(F.col("collid"), F.col("name")), F.col("dir_out"))})
     rows = ids.groupBy("day", "line_no").agg(F.sort_array(F.collect_list(F.struct("order", "token"))).alias("t"))
-    return rows.select("day", "line_no", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("line"))
+    return rows.select("day", "line_no", F.array_join(F.transform("t", lambda x: x["token"]), between).alias("line"))

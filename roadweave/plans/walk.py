@@ -67,22 +67,26 @@ def walk(net: Network, order: list[int], start: int | None = None) -> list[dict]
         entries.setdefault(chain.first, []).append((ci, False))
         if not chain.oneway and chain.last != chain.first:
             entries.setdefault(chain.last, []).append((ci, True))
-    left = set(order)
+    left, waiting = set(order), {n: len(options) for n, options in entries.items()}
+    targets = set(waiting)
     here = net.chains[order[0]].first if start is None and order else start
+    rank = {ci: i for i, ci in enumerate(order)}
     legs = []
     while left:
-        targets = {n for n, options in entries.items() if any(ci in left for ci, _ in options)}
         found = net.reach(here, targets)
         if found:
             target, seconds, meters, path, wrong = found
         else:
-            rank = {ci: i for i, ci in enumerate(order)}
             target = min(targets, key=lambda n: (metres(net.at[here], net.at[n]), min(rank[ci] for ci, _ in entries[n] if ci in left)))
             (target, seconds, meters, path), wrong = net.jump(here, target), False
         ci, flipped = next(x for x in entries[target] if x[0] in left)
         chain = net.chains[ci]
         legs.append({"chain_id": ci, "flipped": flipped, "dh_s": seconds, "dh_m": meters, "path": path, "is_jump": not found, "is_wrong_way": wrong})
         left.discard(ci)
+        for n in {chain.first, chain.last} & waiting.keys() if not chain.oneway else {chain.first}:
+            waiting[n] -= 1
+            if not waiting[n]:
+                targets.discard(n)
         here = chain.first if flipped else chain.last
     return legs
 

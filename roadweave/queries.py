@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import checkpointed
 from .config import MILES_PER_M, PlannerConfig
 from .functions import geo, text
 from .operators import chains as ch
 from .operators import graph as g
 from .operators import sections as sec
 from .operators import spatial as sp
+from .operators.ranking import ranked
 from .plans import days as dy
 from .plans import visits as vi
 from .plans.walk import Chain, Network, walk
+from .plans.engine import locked_state
+from .sinks.project import Project, route_features, state_features
 from .sources import kml, network, project
-from .sinks.project import Project
 
 DEPOT = (39.7, -80.3)
 CONFIG = PlannerConfig()
@@ -207,9 +210,17 @@ def nearest_way_speed(spark, sf_dir):
     return found.select("section_id", "speed_kmh", F.round("d", 3).alias("meters"))
 
 
+def linked_customers(spark, sf_dir):
+    ends = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), node(F.col("c_custkey") % 1000).alias("p"))
+    return sp.nearest_node(ends, road_nodes(spark, sf_dir))
+
+
 def nearest_node_two_phase(spark, sf_dir):
-    ends = table(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("id"), node(F.col("c_custkey") % 1000).alias("p"))
-    return sp.nearest_node(ends, road_nodes(spark, sf_dir)).select("id", "node_id", F.round("d", 3).alias("meters"))
+    return linked_customers(spark, sf_dir).select("id", "node_id", F.round("d", 3).alias("meters"))
+
+
+def far_links(spark, sf_dir):
+    return g.link_stats(linked_customers(spark, sf_dir)).select("links", "far_links", F.round("longest_m", 3).alias("longest_m"))
 
 
 def depot_nearest(spark, sf_dir):
@@ -287,6 +298,7 @@ def next_segment_lead(spark, sf_dir):
 
 def leg_slices(spark, sf_dir):
     one = legs(spark, sf_dir).withColumns({"start_index": F.col("leg_no") * 3, "time_s": F.col("dh_s") + F.round("length_m", 3)})
+    one = one.withColumn("route_points", F.count("*").over(Window.partitionBy("day")) * 3 + 1)
     return vi.leg_times(one).select("day", F.col("leg_no").cast("long").alias("leg_no"), F.col("start_index").cast("long").alias("start_index"), F.col("end_index").cast("long").alias("end_index"), F.round("eta_s", 3).alias("eta_s"))
 
 
@@ -295,7 +307,7 @@ def label_pad(spark, sf_dir):
 
 
 def token_chunks(spark, sf_dir):
-    v = visited(spark, sf_dir).join(sections(spark, sf_dir).select("section_id", F.nullif("collid", F.lit("")).alias("collid"), "name"), "section_id")
+    v = visited(spark, sf_dir).join(sections(spark, sf_dir).select("section_id", "collid", "name"), "section_id")
     return vi.token_lines(v)
 
 
@@ -332,9 +344,8 @@ def day_balance(spark, sf_dir):
 
 
 def day_count_estimate(spark, sf_dir):
-    hours = F.sum("length_m") * MILES_PER_M / CONFIG.collect_mph
-    left = sec.to_survey(sections(spark, sf_dir), honour_scheduled=True).agg(hours.alias("h"))
-    return left.select(F.round("h", 4).alias("hours"), F.greatest(F.lit(1), F.least(F.lit(CONFIG.max_days), F.ceil(F.col("h") / (CONFIG.shift_hours * CONFIG.collection_share)))).cast("long").alias("days"))
+    found = dy.day_estimate(sec.to_survey(sections(spark, sf_dir), honour_scheduled=True), CONFIG)
+    return found.select(F.round("hours", 4).alias("hours"), F.col("days").cast("long").alias("days"))
 
 
 def trim_filler_rank(spark, sf_dir):
@@ -380,17 +391,92 @@ def json_props(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("highest"))
 
 
+def raw_ways(spark, sf_dir):
+    """Ways read from raw JSON answers, one a part: classes, posted speeds and directions by key, some no ways at all."""
+    key = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    at = lambda k: F.struct(node(k % 1000)["lat"].alias("lat"), node(k % 1000)["lon"].alias("lon"))
+    line = F.when(key % 13 == 0, F.array(at(key))).otherwise(F.array(at(key), at(key * 3 + 1)))
+    tags = F.create_map(F.lit("highway"), pick(("motorway", "footway", "residential", "unknown")), F.lit("maxspeed"), pick(("", "25 mph", "80", "none", "0")), F.lit("oneway"), pick(("no", "yes", "-1", "true", "1", "maybe", "")), F.lit("area"), pick(("no", "no", "no", "yes", "no", "no", "no", "no", "no", "no", "no")))
+    element = F.struct(F.when(key % 17 == 0, "node").otherwise("way").alias("type"), key.alias("id"), line.alias("geometry"), tags.alias("tags"))
+    answers = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("json"))
+    found = network.ways_from_elements(network.parse_response(answers))
+    return found.select("way_id", F.size("geometry").cast("long").alias("points"), F.round("speed_kmh", 4).alias("speed_kmh"), "oneway")
+
+
+def road_graph_edges(spark, sf_dir):
+    """Edges of open sections (each a chain of its own), collected ones and ways, by their places."""
+    s = sections(spark, sf_dir)
+    todo, done = sec.to_survey(s), s.where("collected")
+    parts = todo.select(F.col("section_id").alias("chain_id"), F.lit(0).alias("pos"), "section_id", (F.col("section_id") % 2 == 1).alias("flipped"))
+    roads = ways(spark, sf_dir).select(F.col("way_id").alias("way_no"), "geometry", "speed_kmh", (F.col("way_id") % 3 == 0).alias("oneway"))
+    hops = g.survey_hops(parts, todo, done).unionByName(g.way_hops(roads))
+    nodes = checkpointed(g.node_table(hops))
+    places = lambda end: nodes.select(F.col("node_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
+    edges = g.numbered_edges(hops, nodes).join(places("src"), "src").join(places("dst"), "dst")
+    return edges.select("src_lat", "src_lon", "dst_lat", "dst_lon", F.round("seconds", 3).alias("seconds"), F.round("meters", 3).alias("meters"))
+
+
+def one_route(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(visits, sections, transfers) of a route over all open sections in their order, each a leg."""
+    s = sections(spark, sf_dir)
+    todo = sec.to_survey(s)
+    dead = (F.col("section_id") % 4) * 100.0
+    numbered = ranked(todo.select("section_id", "start"), "leg_no", "section_id")
+    one = checkpointed(numbered.select(F.lit(1).alias("day"), F.col("leg_no").cast("int").alias("leg_no"), F.col("section_id").alias("chain_id"), (F.col("section_id") % 2 == 1).alias("flipped"), dead.alias("dh_m"), (dead / 10.0).alias("dh_s"), "start"))
+    parts = todo.select(F.col("section_id").alias("chain_id"), F.lit(0).alias("pos"), "section_id", F.lit(False).alias("flipped"))
+    paths = one.select("leg_no", F.when(F.col("leg_no") % 5 == 0, F.array("start")).otherwise(F.array(geo.point(F.lit(DEPOT[0]), F.lit(DEPOT[1])), "start")).alias("path"))
+    return vi.visits(one.drop("start"), parts, todo), s, paths
+
+
+FEATURE_VALUES = ("RouteName", "Dir", "CollId", "Collected", "Scheduled", "ScheduledDay", "LengthFt", "RouteOrder", "NextCollId")
+
+
+def _feature_rows(features: DataFrame) -> DataFrame:
+    return features.select("part", "at", "step", "name", "note", F.size("line").cast("long").alias("points"), "transfer", *(F.col("values")[v].alias(v) for v in FEATURE_VALUES))
+
+
+def route_project_rows(spark, sf_dir):
+    """Features of one route's file: transfers, sections, the way home, collected sections."""
+    visited, s, paths = one_route(spark, sf_dir)
+    home = spark.createDataFrame([([(40.0, -80.0), DEPOT],)], f"path {geo.LINE}")
+    return _feature_rows(route_features(visited, s, paths, s.where("collected"), home))
+
+
+def segment_state_rows(spark, sf_dir):
+    """Features of a state file: collected before scheduled before the planned day."""
+    s = sections(spark, sf_dir)
+    days = s.where("section_id % 3 = 0").select("section_id", (F.col("section_id") % 5 + 1).cast("int").alias("day"))
+    return _feature_rows(state_features(s, days))
+
+
+def locked_state_rows(spark, sf_dir):
+    """The same once day 2 is locked: its open sections are scheduled, the other days keep theirs."""
+    s = sections(spark, sf_dir)
+    days = sec.to_survey(s, honour_scheduled=True).where("section_id % 3 = 0").select("section_id", (F.col("section_id") % 5 + 1).cast("int").alias("day"))
+    rows = _feature_rows(state_features(locked_state(s, days, 2), days))
+    return rows.groupBy("Collected", "Scheduled", "ScheduledDay").agg(F.count("*").alias("n"))
+
+
+def day_metrics(spark, sf_dir):
+    """Miles, efficiency and hours of seven made-up days."""
+    s = sections(spark, sf_dir)
+    days = s.groupBy((F.col("section_id") % 7).alias("day")).agg(F.sum("length_m").alias("survey_m"), (F.sum(F.col("section_id") % 4) * 100.0).alias("deadhead_m"), F.max("length_m").alias("return_m"))
+    m = dy.day_metrics(days)
+    return m.select("day", *(F.round(c, 6).alias(c) for c in ("survey_mi", "deadhead_mi", "total_mi", "efficiency", "hours")))
+
+
 def merge_endpoints(spark, sf_dir):
     """Sections whose ends are some metres off the grid, snapped together."""
     off = lambda p, k: geo.snap(p["lat"] + (k % 5) * 0.00002, p["lon"] + (k % 3) * 0.00003)
-    raw = raw_sections(spark, sf_dir).where("section_id % 3 = 0")
+    raw = raw_sections(spark, sf_dir)
     moved = raw.withColumn("coords", F.array(off(F.col("coords")[0], F.col("section_id")), off(F.col("coords")[1], F.col("section_id") * 2)))
     m = sp.merge_endpoints(sec.build_sections(moved))
     return m.select("section_id", "start.lat", "start.lon", F.col("end.lat").alias("end_lat"), F.col("end.lon").alias("end_lon"))
 
 
 def chain_sections(spark, sf_dir):
-    parts = ch.chain_parts(sections(spark, sf_dir).where("section_id % 2 = 1"))
+    parts = ch.chain_parts(sections(spark, sf_dir))
     return parts.select("chain_id", F.col("pos").cast("long").alias("pos"), "section_id", "flipped")
 
 
@@ -437,6 +523,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         remaining_km_by_dir, parse_speed_limit, oneway_cascade, flags_split, name_coalesce, section_build, haversine_length, bearing_from_depot, centroid, collapse_dups, hop_pairs, eav_pivot, items_shapes_join,
         fields_left_default, highway_speed_lookup, proximity_pairs_15m, nearest_way_speed, nearest_node_two_phase, depot_nearest, incident_degree, chain_rollup, targets_semi, uncached_tiles_anti, day_left_join,
         min_edge_dedupe, undirected_closure, tile_cover_ring, ring_union_distinct, except_visited, visit_order_eta, next_segment_lead, leg_slices, label_pad, token_chunks, leg_totals, circular_gaps, seam_rotation,
+        far_links, raw_ways, road_graph_edges, route_project_rows, segment_state_rows, locked_state_rows, day_metrics,
         wedge_buckets, day_balance, day_count_estimate, trim_filler_rank, filler_anti, shortest_paths_25, greedy_walk_25, json_props, merge_endpoints, chain_sections, sweep_solve, kml_scan, mpz_roundtrip,
     )
 }

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 from datetime import UTC, datetime, timedelta
 from xml.sax.saxutils import escape
 
+#: Name of the file's route (fixed value).
+TITLE = "Survey Route"
 
-def gpx_text(route: Iterable[tuple[float, float]], legs: list[dict], totals: dict, now: datetime | None = None) -> str:
-    """``legs`` have name, dist_m, time_s, lat, lon; arrival is the time of all legs before."""
+
+def waypoint(rank: int, leg: dict, place: tuple[float, float], elapsed: float, now: datetime) -> str:
+    arrival = now + timedelta(seconds=elapsed)
+    said = f"{leg['dist_m'] / 1000:.2f} km | {leg['time_s'] / 60:.0f} min | ETA +{elapsed / 3600:.1f} h ({arrival:%H:%M} UTC)"
+    return f'<wpt lat="{place[0]}" lon="{place[1]}"><name>{rank}. {escape(leg["name"] or "")}</name><desc>{said}</desc></wpt>'
+
+
+def gpx_text(route: Sequence[tuple[float, float]], legs: list[dict], totals: dict, now: datetime | None = None) -> str:
+    """``legs`` have name, dist_m, time_s and start_index in the route (0 if absent); arrival is the time of all legs before. A leg without points has no waypoint."""
     now = now or datetime.now(UTC)
-    lines = [
-        '<?xml version="1.0" encoding="UTF-8"?>',
-        '<gpx version="1.1" creator="roadweave" xmlns="http://www.topografix.com/GPX/1/1">',
-        f"  <metadata><time>{now:%Y-%m-%dT%H:%M:%SZ}</time><desc>Survey {totals['survey_m'] / 1000:.1f} km, transfers {totals['deadhead_m'] / 1000:.1f} km</desc></metadata>",
-    ]
+    all_km, transfer_km = (totals["survey_m"] + totals["deadhead_m"]) / 1000, totals["deadhead_m"] / 1000
+    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<gpx version="1.1" creator="roadweave" xmlns="http://www.topografix.com/GPX/1/1">']
+    out += ["<metadata>", f"<name>{TITLE}</name>", f"<desc>{len(legs)} runs, {all_km:.1f} km total ({transfer_km:.1f} km deadhead)</desc>", f"<time>{now:%Y-%m-%dT%H:%M:%SZ}</time>", "</metadata>"]
     elapsed = 0.0
     for rank, leg in enumerate(legs, 1):
-        eta = now + timedelta(seconds=elapsed)
-        lines.append(f'  <wpt lat="{leg["lat"]:.6f}" lon="{leg["lon"]:.6f}"><name>{rank}. {escape(leg["name"] or "")}</name><desc>{leg["dist_m"] / 1000:.2f} km, {leg["time_s"] / 60:.0f} min, ETA {eta:%H:%M}</desc></wpt>')
-        elapsed += leg["time_s"]
-    lines.append("  <trk><name>Route</name><trkseg>")
-    lines += [f'    <trkpt lat="{lat:.6f}" lon="{lon:.6f}"/>' for lat, lon in route]
-    return "\n".join([*lines, "  </trkseg></trk>", "</gpx>", ""])
+        at = leg.get("start_index", 0)
+        if at < len(route):
+            out.append(waypoint(rank, leg, route[at], elapsed, now))
+            elapsed += leg["time_s"]
+    out += [f"<trk><name>{TITLE}</name><trkseg>", *(f'<trkpt lat="{lat}" lon="{lon}"/>' for lat, lon in route), "</trkseg></trk></gpx>"]
+    return "\n".join(out)

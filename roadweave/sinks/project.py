@@ -1,17 +1,21 @@
-"""Map projects: the rows of each table as DataFrames, one task that writes them into an SQLite database in a zip."""
+"""Map projects: the features of each file as DataFrames, one task that writes them into an SQLite database in a zip."""
 
 from __future__ import annotations
 
 import io
 import sqlite3
+import uuid
 import zipfile
 from collections.abc import Iterable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FEET_PER_M
+from ..functions import geo, text
 from ..functions.shapes import encode
+from ..plans.visits import labelled, section_ref
 
 #: Names and value types (1 text, 11 integer, 13 decimal) of the declared properties (fixed values).
 PROPERTIES = (
@@ -58,6 +62,20 @@ RULES = (
 )
 #: Values that a property offers (fixed).
 CHOICES = {"Collected": "Yes|No|", "Scheduled": "Yes|No|"}
+#: Version of the format, the archive's second entry and its text (fixed values).
+VERSION, METADATA = "2.8.14", ".com.miocool.mapplus.metadata/metadata.xml"
+METADATA_TEXT = f"""<?xml version="1.0" encoding="UTF-8"?>
+<MetaData>
+  <Version>1.0</Version>
+  <DatabaseVersion>{VERSION}</DatabaseVersion>
+  <Description></Description>
+  <RootItemType>70</RootItemType>
+</MetaData>
+"""
+#: Route name of generated transfers; signs before the names of transfers, collected and locked pieces; notes (fixed values).
+TRANSFER, TO, DONE, LOCKED = "Deadhead", "→ ", "✓ ", "◷ "
+WITH_ARROWS, AGAINST_ARROWS = " | BLUE: drive WITH the arrows", " | PINK: drive AGAINST the arrows"
+DONE_NOTE, UNROUTED_NOTE, LOCKED_NOTE = "Already collected", "Already collected — not part of the route", "Locked into an earlier day's route"
 
 
 def state_of(sections: DataFrame, days: DataFrame) -> DataFrame:
@@ -67,21 +85,86 @@ def state_of(sections: DataFrame, days: DataFrame) -> DataFrame:
     return joined.withColumn("state", state)
 
 
-def carried(fields: dict[str, str], without: Iterable[str] = ()) -> dict[str, str]:
-    """Original values under declared names, less some."""
+def carried(fields: Column, without: Iterable[str] = ()) -> Column:
+    """Original values by declared name, less some, as a map."""
     left_out = {n.lower() for n in without}
-    return {name: fields[name.lower()] for name, _ in PROPERTIES if name.lower() in fields and name.lower() not in left_out}
+    pairs = [F.struct(F.lit(name).alias("key"), fields[name.lower()].alias("value")) for name, _ in PROPERTIES if name.lower() not in left_out]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull()))
+
+
+def with_values(base: Column, **values: Column) -> Column:
+    """``base`` with values set; a name in it gives way to the value."""
+    names = list(values)
+    kept = F.map_filter(base, lambda k, _: ~k.isin(*names))
+    return F.map_concat(kept, F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]))
+
+
+def _or(fields: Column, name: str, otherwise: Column) -> Column:
+    """A field's value, or one to write where it is absent."""
+    return F.coalesce(fields[name.lower()], otherwise)
+
+
+FEATURE = ("part", "at", "step", "name", "note", "line", "transfer", "values")
+
+
+def _feature(rows: DataFrame, part: int, at, step: int, name: Column, note: Column, line: Column, values: Column, transfer: bool = False) -> DataFrame:
+    """Rows of a project's features: part, at and step order them."""
+    return rows.select(F.lit(part).alias("part"), at.cast("long").alias("at"), F.lit(step).alias("step"), name.alias("name"), note.alias("note"), line.alias("line"), F.lit(transfer).alias("transfer"), values.alias("values"))
+
+
+def route_features(visited: DataFrame, sections: DataFrame, transfers: DataFrame | None = None, collected: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
+    """Features of one day's route file in drawing order.
+
+    ``visited`` are the day's visits; ``transfers`` (leg_no, path) the ways to legs, ``back`` (path) the way home,
+    ``collected`` sections that ride along. A transfer stands before the first section of its leg if it has two points;
+    sections keep their digitised geometry and original fields, Dir says how they are driven.
+    """
+    visits = labelled(visited).join(sections.select("section_id", "digitized_coords", "fields", "name", "collid", "dir_code"), "section_id")
+    own, order = section_ref(F.col("collid"), F.col("name")), F.col("order").cast("string")
+    with_dir = F.when(F.col("dir_out") == "D", AGAINST_ARROWS).otherwise(WITH_ARROWS)
+    original = F.when(~F.col("dir_code").isin("", "I", "D") & (F.col("dir_code") != F.col("dir_out")), F.concat(F.lit(" | original Dir: "), F.col("dir_code"))).otherwise("")
+    following = F.coalesce(F.concat(F.lit(" | next: CollId "), F.col("next_segment")), F.lit(""))
+    note = F.concat(F.lit("Run "), order, F.lit(" of "), F.col("visits").cast("string"), F.lit(" | "), text.fixed(F.col("length_m") / 1000, 2), F.lit(" km | ETA +"), text.fixed(F.col("eta_s") / 3600, 1), F.lit(" h"), with_dir, original, following)
+    fields = F.col("fields")
+    values = with_values(carried(fields, ("RouteOrder", "NextCollId", "Dir")), Dir=F.col("dir_out"), CollId=_or(fields, "CollId", own), Collected=_or(fields, "Collected", F.lit("No")), RouteOrder=order, NextCollId=F.col("next_segment"))
+    out = _feature(visits, 0, F.col("order"), 1, F.concat(F.col("rank"), F.lit(" · "), own), note, F.col("digitized_coords"), values)
+    if transfers is not None:
+        moved = visits.where("dh_m > 0").join(transfers, "leg_no").where("size(path) >= 2")
+        note = F.concat(F.lit("Transfer "), text.fixed(F.col("dh_m") / 1000, 2), F.lit(" km (~"), text.fixed(F.col("dh_s") / 60, 0), F.lit(" min) to segment "), F.col("rank"), F.lit(" (CollId "), own, F.lit(")"))
+        values = F.create_map(*[x for k, v in {"RouteName": F.lit(TRANSFER), "LengthFt": text.fixed(F.col("dh_m") * FEET_PER_M, 1), "RouteOrder": order, "NextCollId": own}.items() for x in (F.lit(k), v)])
+        out = out.unionByName(_feature(moved, 0, F.col("order"), 0, F.concat(F.lit(TO), F.col("rank")), note, F.col("path"), values, True))
+    if back is not None:
+        home = back.where("size(path) >= 2").withColumn("meters", geo.path_length(F.col("path")))
+        values = F.create_map(F.lit("RouteName"), F.lit(TRANSFER), F.lit("LengthFt"), text.fixed(F.col("meters") * FEET_PER_M, 1))
+        out = out.unionByName(_feature(home, 1, F.lit(0), 0, F.lit(TO + "Return"), F.concat(F.lit("Return to start: "), text.fixed(F.col("meters") / 1000, 2), F.lit(" km")), F.col("path"), values, True))
+    if collected is not None:
+        values = with_values(carried(fields, ("RouteOrder", "NextCollId", "Collected")), Collected=F.lit("Yes"), CollId=_or(fields, "CollId", own))
+        out = out.unionByName(_feature(collected, 2, F.col("section_id"), 0, F.concat(F.lit(DONE), own), F.lit(UNROUTED_NOTE), F.col("digitized_coords"), values))
+    return out
+
+
+def state_features(sections: DataFrame, days: DataFrame) -> DataFrame:
+    """Features of a file with every section's state; only a section that is scheduled already says so, a planned one has its day."""
+    rows = state_of(sections, days)
+    own, state, fields = section_ref(F.col("collid"), F.col("name")), F.col("state"), F.col("fields")
+    day = F.when(state.startswith("day "), F.col("day").cast("string"))
+    values = with_values(carried(fields, ("RouteOrder", "NextCollId", "Scheduled", "ScheduledDay")), CollId=_or(fields, "CollId", own), Collected=_or(fields, "Collected", F.when(F.col("collected"), "Yes").otherwise("No")), Scheduled=F.when(state == "scheduled", "Yes"), ScheduledDay=day)
+    name = F.when(state == "collected", F.concat(F.lit(DONE), own)).when(state == "scheduled", F.concat(F.lit(LOCKED), own)).when(day.isNotNull(), F.concat(F.lit("Day "), day, F.lit(" · "), own)).otherwise(own)
+    note = F.when(state == "collected", DONE_NOTE).when(state == "scheduled", LOCKED_NOTE).when(day.isNotNull(), F.concat(F.lit("Planned for day "), day))
+    present = F.map_filter(values, lambda k, v: v.isNotNull())
+    return _feature(rows, 0, F.col("section_id"), 0, name, note, F.col("digitized_coords"), present)
 
 
 class Project:
-    """A project's database under construction; ``stamp`` is the time of all rows and ``prefix`` begins their ids."""
+    """A project's database under construction; ``stamp`` is the time of all rows, ``base`` tells the ids of one file from another's."""
 
-    def __init__(self, title: str, stamp: float = 0.0, prefix: str = "RP"):
-        self.stamp, self.prefix = stamp, prefix
+    def __init__(self, title: str, stamp: float = 0.0, note: str | None = None, base: str | None = None):
+        self.stamp, self.base = stamp, base or uuid.uuid4().hex[:10].upper()
         self.database = sqlite3.connect(":memory:")
         for table, columns in SCHEMA.items():
             self.database.execute(f"create table {table} ({columns})")
-        self._item(FEATURE_CLASS, 1, 1, CLASS_TYPE, title, subtype=2)
+        day = datetime.fromtimestamp(stamp, UTC)
+        self._item(FEATURE_CLASS, 1, 1, CLASS_TYPE, title, description=f"{day:%b} {day.day}, {day.year}", icon_id=0, subtype=2)
         self._styles(FEATURE_CLASS, CLASS_STYLE)
         self.property = {name: 10_001 + i for i, (name, _) in enumerate(PROPERTIES)}
         for i, (name, kind) in enumerate(PROPERTIES, 1):
@@ -92,12 +175,13 @@ class Project:
             self._values(FEATURE_CLASS + i, {RULE: rule.encode()})
             self._styles(FEATURE_CLASS + i, style)
         self.collection = self.last = FEATURE_CLASS + len(RULES) + 1
-        self._item(self.collection, 1, 2, COLLECTION_TYPE, title, feature_class_id=FEATURE_CLASS, show_on_map=1, display_mode=0, subtype=2)
+        self._item(self.collection, 1, 2, COLLECTION_TYPE, title, description=note, feature_class_id=FEATURE_CLASS, show_on_map=1, display_mode=0, subtype=2)
         self._values(self.collection, {k: v.to_bytes(4, "little") for k, v in SETTINGS.items()})
-        self.database.execute("insert into t_version values ('1', '', ?)", (stamp,))
+        self.database.execute("insert into t_version values (?, null, ?)", (VERSION, stamp))
+        self.database.execute("insert into t_metadata values ('version', ?, ?)", (VERSION, stamp))
 
     def _item(self, item: int, parent: int, order: int, kind: int, name: str, **more):
-        row = {"id": item, "guid": f"{self.prefix}L{item}", "parent_id": parent, "order_idx": order, "type": kind, "name": name, "remind_distance": 0, "insert_date": self.stamp, "update_date": self.stamp} | more
+        row = {"id": item, "guid": f"RP{self.base}L{item - FEATURE_CLASS + 1}", "parent_id": parent, "order_idx": order, "type": kind, "name": name, "remind_distance": 0, "insert_date": self.stamp, "update_date": self.stamp} | more
         self.database.execute(f"insert into t_item ({', '.join(row)}) values ({', '.join('?' * len(row))})", tuple(row.values()))
 
     def _values(self, item: int, values: dict[int, bytes | None]):
@@ -106,56 +190,43 @@ class Project:
     def _styles(self, item: int, style: dict[int, str]):
         self.database.executemany("insert into t_feature_style_lkp values (?, ?, ?)", [(item, k, v) for k, v in style.items()])
 
-    def add_line(self, name: str, line, values: dict[str, str], note: str = "", look: tuple[int, float, int] = SEGMENT_LINE) -> int:
-        """A feature in drawing order; the route name is also written under its built-in id."""
+    def add_line(self, name: str, line, values: dict[str, str | None], note: str | None = None, transfer: bool = False) -> int:
+        """A feature in drawing order; the route name of what isn't a transfer is also written under its built-in id."""
         self.last += 1
         self._item(self.last, self.collection, self.last - self.collection, LINE_TYPE, name, description=note, feature_class_id=FEATURE_CLASS, display_mode=1)
-        self.database.execute("insert into t_shape values (?, ?, 1, 0, ?, ?, ?, 0)", (self.last, encode(line), *look))
+        self.database.execute("insert into t_shape values (?, ?, 1, 0, ?, ?, ?, 0)", (self.last, encode(line), *(TRANSFER_LINE if transfer else SEGMENT_LINE)))
         text = {k: None if v is None else str(v).encode() for k, v in values.items()}
-        self._values(self.last, {ROUTE_NAME: text.get("RouteName")} | {self.property[k]: v for k, v in text.items() if v is not None})
+        self._values(self.last, ({} if transfer else {ROUTE_NAME: text.get("RouteName")}) | {self.property[k]: v for k, v in text.items()})
         return self.last
 
     def content(self) -> bytes:
         """The zip file."""
-        self.database.execute("insert into t_sequence values (1, ?)", (self.last + 1,))
+        last_property = FEATURE_CLASS + len(PROPERTIES)
+        self.database.executemany("insert into t_sequence values (?, ?)", [(1, self.last + 1), (2, FEATURE_CLASS), (3, last_property), (4, FEATURE_CLASS), (5, FEATURE_CLASS), (6, FEATURE_CLASS)])
         self.database.commit()
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("data.sdb", self.database.serialize())
-            archive.writestr("info.txt", f"{self.prefix}\n")
+            archive.writestr(METADATA, METADATA_TEXT)
         return out.getvalue()
 
 
-def _line(coords) -> list[tuple[float, float]]:
-    return [(p["lat"], p["lon"]) for p in coords]
-
-
-def sections_project(sections: DataFrame, days: DataFrame, title: str, stamp: float = 0.0) -> bytes:
-    """All sections with their state. Rows stream to the driver in order of section_id, since the result is one file."""
-    project = Project(title, stamp)
-    for r in state_of(sections, days).orderBy("section_id").toLocalIterator():
-        fields = dict(r["fields"] or {})
-        values = carried(fields, without=("Scheduled", "ScheduledDay"))
-        if r["collected"]:
-            values.setdefault("Collected", "Yes")
-        elif r["scheduled"] or r["day"] is not None:
-            values["Scheduled"] = "Yes"
-            day = fields.get("scheduledday") if r["scheduled"] and r["day"] is None else r["day"]
-            if day is not None:
-                values["ScheduledDay"] = str(day)
-        project.add_line(r["name"], _line(r["digitized_coords"]), values, r["state"])
+def project_file(features: DataFrame, title: str, note: str, stamp: float = 0.0) -> bytes:
+    """The file of ``route_features`` or ``state_features``. Rows stream to the driver in order, since the result is one file."""
+    project = Project(title, stamp, note)
+    for r in features.orderBy("part", "at", "step").toLocalIterator():
+        project.add_line(r["name"], [(p["lat"], p["lon"]) for p in r["line"]], r["values"], r["note"], r["transfer"])
     return project.content()
 
 
-def visits_project(visited: DataFrame, sections: DataFrame, transfers: dict[tuple[int, int], list], title: str, stamp: float = 0.0) -> bytes:
-    """Sections in drive order, each after its transfer (by (day, leg_no)); generated transfers are named so that they are not read again."""
-    project = Project(title, stamp)
-    rows = visited.join(sections.select("section_id", "digitized_coords", "fields", "name"), "section_id")
-    for r in rows.orderBy("day", "order").toLocalIterator():
-        path = transfers.get((r["day"], r["leg_no"])) if r["dh_m"] else None
-        if path and len(path) >= 2:
-            project.add_line("transfer", path, {"RouteName": "Deadhead"}, f"{r['dh_m'] / 1609.344:.2f} mi", TRANSFER_LINE)
-        values = carried(dict(r["fields"] or {}), without=("Dir", "RouteOrder", "NextCollId", "LengthFt"))
-        values |= {"Dir": r["dir_out"], "RouteOrder": r["order"], "NextCollId": r["next_segment"], "LengthFt": f"{r['length_m'] * FEET_PER_M:.1f}"}
-        project.add_line(f"{r['order']:04d} · {r['name']}", _line(r["digitized_coords"]), values)
-    return project.content()
+def route_note(visits: int, totals: dict, collected: int = 0) -> str:
+    """Description of a route file; ``totals`` has survey_m, deadhead_m, survey_s and deadhead_s."""
+    hours = (totals["survey_s"] + totals["deadhead_s"]) / 3600
+    note = f"{visits} segments in driving order | {totals['survey_m'] / 1000:.1f} km survey + {totals['deadhead_m'] / 1000:.1f} km deadhead | est. {hours:.1f} h"
+    return note + (f" | {collected} already collected" if collected else "")
+
+
+def state_note(sections: int, planned: int, locked: int, collected: int) -> str:
+    """Description of a state file."""
+    parts = ((planned, "in the current multi-day plan"), (locked, "locked into earlier days"), (collected, "collected"))
+    return " | ".join([f"{sections} segments", *(f"{n} {what}" for n, what in parts if n)])

@@ -6,11 +6,12 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import LINE
-from ..functions.text import parse_speed_limit
+from ..functions.text import BARE_AMPERSAND, NOT_XML, parse_speed_limit
+from ..operators.ranking import ranked
 from ..operators.sections import build_sections, display_name
 
 NS = "{http://www.opengis.net/kml/2.2}"
@@ -22,8 +23,8 @@ def parse_tree(data: bytes) -> ET.Element:
     try:
         return ET.fromstring(data)
     except ET.ParseError:
-        text = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "", data.decode("utf-8", "ignore"))
-        return ET.fromstring(re.sub(r"&(?!(?:[a-zA-Z][a-zA-Z0-9]*|#\d+|#x[0-9a-fA-F]+);)", "&amp;", text).encode())
+        text = re.sub(NOT_XML, "", data.decode("utf-8", "ignore"))
+        return ET.fromstring(re.sub(BARE_AMPERSAND, "&amp;", text).encode())
 
 
 def _number(text: str) -> float | None:
@@ -72,17 +73,12 @@ def parse_kml(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, RAW)
 
 
-def numbered(raw: DataFrame, *order: str | Column) -> DataFrame:
-    """Add section_id: the place in order. Names count on it, and input files are far smaller than what they are joined with."""
-    return raw.withColumn("section_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-
-
 def sections_of(raw: DataFrame) -> DataFrame:
     """Sections of raw features; a speed in the description counts where no field has one."""
-    own = numbered(raw, "file", "n")
+    own = ranked(raw, "section_id", "file", "n")
     name = display_name(F.col("fields")["collid"], F.col("feature_name"), F.col("section_id") + 1, F.col("fields")["routename"])
     built = build_sections(own.select("section_id", "coords", "fields", name.alias("name")))
-    said = own.select(F.col("section_id").alias("_id"), parse_speed_limit(F.col("description")).alias("_speed"))
+    said = own.select(F.col("section_id").alias("_id"), parse_speed_limit(F.col("description")).alias("_speed")).where("_speed is not null")
     joined = built.join(said, F.col("section_id") == F.col("_id"), "left")
     return joined.withColumn("speed_limit", F.coalesce("speed_limit", F.nullif("_speed", F.lit(0.0)))).select(*built.columns)
 

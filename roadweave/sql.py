@@ -79,7 +79,7 @@ legs as (select o_custkey as day, row_number() over (partition by o_custkey orde
                 length_m, against, collid, name, length_m / (coalesce(speed_limit, 30.0::double) * 1000.0 / 3600.0) as time_s from sec),
 vis as (select *, leg_no + 1 as ord, case when flipped <> against then 'D' else 'I' end as dir_out,
                coalesce(sum(time_s) over (partition by day order by leg_no rows between unbounded preceding and 1 preceding), 0) + sum(dh_s) over (partition by day order by leg_no rows between unbounded preceding and current row) as eta_s,
-               lead(collid) over (partition by day order by leg_no) as next_segment from legs)"""
+               lead(coalesce(nullif(collid, ''), name)) over (partition by day order by leg_no) as next_segment from legs)"""
 
 RUNS = f"""
 runs as (
@@ -114,7 +114,59 @@ def _paths() -> str:
 _CELL = 50.0 / 111320.0
 _M15 = 15.0 / 111320.0
 
+NEAREST = f"""with {NODES}, p as (select c_custkey as id, {lat("c_custkey % 1000")} as lat, {lon("c_custkey % 1000")} as lon from customer),
+        d as (select id, node_id, {hav("p.lat", "p.lon", "n.lat", "n.lon")} as d, trunc(n.lat / {_CELL!r}::double)::bigint - trunc(p.lat / {_CELL!r}::double)::bigint as dx, trunc(n.lon / {_CELL!r}::double)::bigint - trunc(p.lon / {_CELL!r}::double)::bigint as dy from p, nodes n),
+        near as (select id, arg_min(node_id, (d, 3 * (dx + 1) + dy + 1, node_id)) as node_id, min(d) as d from d where abs(dx) <= 1 and abs(dy) <= 1 group by id),
+        far as (select id, arg_min(node_id, (d, node_id)) as node_id, min(d) as d from d where id not in (select id from near) group by id),
+        nearest as (select * from near union all select * from far)"""
+
+_REF = "coalesce(nullif(collid, ''), name)"
+
+ROUTE = RAW + f""",
+todo as (select *, row_number() over (order by section_id) as ord, {_REF} as ref, (section_id % 4) * 100.0::double as dh_m, length_m / (coalesce(speed_limit, 30.0::double) * 1000.0 / 3600.0) as time_s,
+                case when (section_id % 2 = 1) <> against then 'D' else 'I' end as dir_out from sec where not collected),
+seen as (select *, lead(ref) over (order by ord) as following, lpad(ord::varchar, greatest(4, length((count(*) over ())::varchar))::int, '0') as rank, count(*) over () as n,
+                coalesce(sum(time_s) over (order by ord rows between unbounded preceding and 1 preceding), 0) + sum(dh_m / 10.0) over (order by ord rows between unbounded preceding and current row) as eta_s from todo),
+home as (select {hav("40.0::double", "-80.0::double", "39.7::double", "-80.3::double")} as m)"""
+
 ORACLES: dict[str, str] = {
+    "raw_ways": """with p as (select p_partkey as k, ['motorway', 'footway', 'residential', 'unknown'][p_partkey % 4 + 1] as highway, ['', '25 mph', '80', 'none', '0'][p_partkey % 5 + 1] as maxspeed,
+        ['no', 'yes', '-1', 'true', '1', 'maybe', ''][p_partkey % 7 + 1] as oneway from part)
+        select k as way_id, 2::bigint as points, round(case maxspeed when '25 mph' then 25 * 1.60934 when '80' then 80 else case highway when 'motorway' then 110 when 'residential' then 56 else 30 end end, 4)::double as speed_kmh,
+               oneway in ('yes', 'true', '1', '-1') as oneway from p where highway <> 'footway' and k % 11 <> 3 and k % 13 <> 0 and k % 17 <> 0""",
+    "road_graph_edges": f"""with {RAW}, {WAYS}, hops as (
+        select s_lat as a, s_lon as b, e_lat as c, e_lon as d, coalesce(oneway, false) as oneway, section_id % 2 = 1 and not collected as turned, length_m as m, length_m / (coalesce(speed_limit, 30.0::double) * 1000.0 / 3600.0) as s from sec
+        union all select a_lat, a_lon, b_lat, b_lon, way_id % 3 = 0, false, {hav("a_lat", "a_lon", "b_lat", "b_lon")}, {hav("a_lat", "a_lon", "b_lat", "b_lon")} / (speed_kmh * 1000.0 / 3600.0) from wayspeed),
+        both_ways as (select a, b, c, d, s, m from hops where not (turned and oneway) union all select c, d, a, b, s, m from hops where turned or not oneway)
+        select a as src_lat, b as src_lon, c as dst_lat, d as dst_lon, round(min(s), 3) as seconds, round(min(m), 3) as meters from both_ways group by all""",
+    "route_project_rows": f"""with {ROUTE}
+        select 0 as part, ord as at, 1 as step, rank || ' · ' || ref as name,
+               'Run ' || ord || ' of ' || n || ' | ' || printf('%.2f', length_m / 1000) || ' km | ETA +' || printf('%.1f', eta_s / 3600) || ' h' || case when dir_out = 'D' then ' | PINK: drive AGAINST the arrows' else ' | BLUE: drive WITH the arrows' end
+               || case when dir not in ('', 'I', 'D') then ' | original Dir: ' || dir else '' end || coalesce(' | next: CollId ' || following, '') as note,
+               2::bigint as points, false as transfer, routename as "RouteName", dir_out as "Dir", collid as "CollId", 'No' as "Collected", case when scheduled then ' yes' else '' end as "Scheduled", null::varchar as "ScheduledDay", null::varchar as "LengthFt", ord::varchar as "RouteOrder", following as "NextCollId" from seen
+        union all select 0, ord, 0, '→ ' || rank, 'Transfer ' || printf('%.2f', dh_m / 1000) || ' km (~' || printf('%.0f', dh_m / 10.0 / 60) || ' min) to segment ' || rank || ' (CollId ' || ref || ')', 2, true, 'Deadhead', null, null, null, null, null, printf('%.1f', dh_m * 3.28084), ord::varchar, ref
+        from seen where dh_m > 0 and (ord - 1) % 5 <> 0
+        union all select 1, 0, 0, '→ Return', 'Return to start: ' || printf('%.2f', m / 1000) || ' km', 2, true, 'Deadhead', null, null, null, null, null, printf('%.1f', m * 3.28084), null, null from home
+        union all select 2, section_id, 0, '✓ ' || {_REF}, 'Already collected — not part of the route', 2, false, routename, dir, collid, 'Yes', case when scheduled then ' yes' else '' end, null, null, null, null from sec where collected""",
+    "segment_state_rows": f"""with {RAW}, st as (select *, {_REF} as ref, not collected and not scheduled and section_id % 3 = 0 as planned, (section_id % 5 + 1)::varchar as day from sec)
+        select 0 as part, section_id as at, 0 as step, case when collected then '✓ ' || ref when scheduled then '◷ ' || ref when planned then 'Day ' || day || ' · ' || ref else ref end as name,
+               case when collected then 'Already collected' when scheduled then 'Locked into an earlier day''s route' when planned then 'Planned for day ' || day end as note, 2::bigint as points, false as transfer,
+               routename as "RouteName", dir as "Dir", collid as "CollId", case when collected then 'Yes' else 'No' end as "Collected", case when scheduled and not collected then 'Yes' end as "Scheduled", case when planned then day end as "ScheduledDay",
+               null::varchar as "LengthFt", null::varchar as "RouteOrder", null::varchar as "NextCollId" from st""",
+    "locked_state_rows": f"""with {RAW}, st as (select *, case when not collected and not scheduled and section_id % 3 = 0 then section_id % 5 + 1 end as day from sec)
+        select case when collected then 'Yes' else 'No' end as "Collected", case when (scheduled or day = 2) and not collected then 'Yes' end as "Scheduled", case when day <> 2 then day::varchar end as "ScheduledDay", count(*) as n from st group by all""",
+    "day_metrics": f"""with {RAW}, d as (select section_id % 7 as day, sum(length_m) / 1609.344::double as s, (sum(section_id % 4) * 100.0 + max(length_m)) / 1609.344::double as t from sec group by 1)
+        select day, round(s, 6) as survey_mi, round(t, 6) as deadhead_mi, round(s + t, 6) as total_mi, round(s * 100 / (s + t), 6) as efficiency, round(s / 35.0 + t / 45.0, 6) as hours from d""",
+    "merge_endpoints": f"""with {RAW}, moved as (select section_id, dir, round(a_lat + (section_id % 5) * 0.00002::double, 6) as a_lat, round(a_lon + (section_id % 3) * 0.00003::double, 6) as a_lon,
+               round(b_lat + (section_id * 2 % 5) * 0.00002::double, 6) as b_lat, round(b_lon + (section_id * 2 % 3) * 0.00003::double, 6) as b_lon from raw),
+        own as (select section_id, case when dir = 'D' then b_lat else a_lat end as s_lat, case when dir = 'D' then b_lon else a_lon end as s_lon, case when dir = 'D' then a_lat else b_lat end as e_lat, case when dir = 'D' then a_lon else b_lon end as e_lon
+                from moved where a_lat <> b_lat or a_lon <> b_lon),
+        ends as (select section_id * 2 as seen, s_lat as lat, s_lon as lon from own union all select section_id * 2 + 1, e_lat, e_lon from own),
+        pts as (select lat, lon, min(seen) as seen, trunc(lat / {_M15!r}::double)::bigint as cx, trunc(lon / {_M15!r}::double)::bigint as cy from ends group by all),
+        -- the points around one grid node are all within the tolerance of each other, so the first one takes them all
+        kept as (select p.lat, p.lon, arg_min(q.lat, q.seen) as to_lat, arg_min(q.lon, q.seen) as to_lon from pts p join pts q on q.cx between p.cx - 1 and p.cx + 1 and q.cy between p.cy - 1 and p.cy + 1 where {hav("p.lat", "p.lon", "q.lat", "q.lon")} < 15 group by p.lat, p.lon)
+        select section_id, a.to_lat as lat, a.to_lon as lon, case when a.to_lat = b.to_lat and a.to_lon = b.to_lon then e_lat else b.to_lat end as end_lat, case when a.to_lat = b.to_lat and a.to_lon = b.to_lon then e_lon else b.to_lon end as end_lon
+        from own join kept a on a.lat = s_lat and a.lon = s_lon join kept b on b.lat = e_lat and b.lon = e_lon""",
     "remaining_km_by_dir": f"with {RAW} select dir as dir_code, count(*) as n_sections, round(sum(length_m) / 1000, 3) as km, count(*) filter (where oneway) as n_oneway from sec where not collected group by dir",
     "parse_speed_limit": f"with {RAW} select section_id, round({speed('maxspeed')}, 4) as kmh from raw",
     "oneway_cascade": f"with {RAW} select section_id, dir as dir_code, case when dir = '' then case when ow2 = 'no' then false when ow1 = 'yes' then true end when dir = 'B' then false else true end as oneway, dir = 'D' as against from raw",
@@ -141,11 +193,8 @@ ORACLES: dict[str, str] = {
         w as (select distinct section_id, e_lat, e_lon, way_id from m join vc on vc.cx between m.cx - 1 and m.cx + 1 and vc.cy between m.cy - 1 and m.cy + 1),
         d as (select section_id, way_id, speed_kmh, min({hav("e_lat", "e_lon", "v.lat", "v.lon")}) as d from w join v using (way_id) group by all)
         select section_id, arg_min(speed_kmh, (d, way_id)) as speed_kmh, round(min(d), 3) as meters from d where d < 100 group by section_id""",
-    "nearest_node_two_phase": f"""with {NODES}, p as (select c_custkey as id, {lat("c_custkey % 1000")} as lat, {lon("c_custkey % 1000")} as lon from customer where c_custkey < 1000),
-        d as (select id, node_id, {hav("p.lat", "p.lon", "n.lat", "n.lon")} as d, trunc(n.lat / {_CELL!r}::double)::bigint - trunc(p.lat / {_CELL!r}::double)::bigint as dx, trunc(n.lon / {_CELL!r}::double)::bigint - trunc(p.lon / {_CELL!r}::double)::bigint as dy from p, nodes n),
-        near as (select id, arg_min(node_id, (d, 3 * (dx + 1) + dy + 1, node_id)) as node_id, min(d) as d from d where abs(dx) <= 1 and abs(dy) <= 1 group by id),
-        far as (select id, arg_min(node_id, (d, node_id)) as node_id, min(d) as d from d where id not in (select id from near) group by id)
-        select id, node_id, round(d, 3) as meters from (select * from near union all select * from far)""",
+    "nearest_node_two_phase": NEAREST + " select id, node_id, round(d, 3) as meters from nearest",
+    "far_links": NEAREST + " select count(*) as links, count(*) filter (where d > 50) as far_links, round(coalesce(max(d) filter (where d > 50), 0), 3) as longest_m from nearest",
     "depot_nearest": f"with {NODES}, d as (select node_id, {hav('39.7::double', '-80.3::double', 'lat', 'lon')} as d from nodes) select arg_min(node_id, (d, node_id)) as node_id, round(min(d), 3) as meters from d",
     "incident_degree": f"with {RAW}, n as (select s_lat as a, s_lon as o from sec union all select e_lat, e_lon from sec), c as (select count(*) as degree from n group by a, o) select degree, count(*) as nodes from c group by degree",
     "chain_rollup": f"""with {RAW}, p as (select *, section_id // 4 as chain_id, row_number() over (partition by section_id // 4 order by section_id) as pos from sec)
@@ -162,7 +211,7 @@ ORACLES: dict[str, str] = {
     "except_visited": f"with {LEGS} select section_id from sec where not collected except select section_id from legs where leg_no < 3",
     "visit_order_eta": f"with {LEGS} select day, ord as \"order\", section_id, flipped as reversed, dir_out, case when dh_m > 0 then dh_m end as dh_m, round(time_s, 3) as time_s, round(eta_s, 2) as eta_s from vis",
     "next_segment_lead": f"with {LEGS} select section_id, next_segment from vis",
-    "leg_slices": f"with {LEGS}, l as (select day, leg_no, leg_no * 3 as start_index, dh_s + round(length_m, 3) as t from legs) select day, leg_no, start_index, lead(start_index) over w as end_index, round(coalesce(sum(t) over (partition by day order by leg_no rows between unbounded preceding and 1 preceding), 0), 3) as eta_s from l window w as (partition by day order by leg_no)",
+    "leg_slices": f"with {LEGS}, l as (select day, leg_no, leg_no * 3 as start_index, dh_s + round(length_m, 3) as t from legs) select day, leg_no, start_index, coalesce(lead(start_index) over w, count(*) over (partition by day) * 3 + 1) as end_index, round(coalesce(sum(t) over (partition by day order by leg_no rows between unbounded preceding and 1 preceding), 0), 3) as eta_s from l window w as (partition by day order by leg_no)",
     "label_pad": f"with {LEGS} select section_id, lpad(ord::varchar, greatest(4, length(ord::varchar), length((count(*) over (partition by day))::varchar))::int, '0') as rank, round(length_m * 3.28084::double, 1) as length_ft from vis",
     "token_chunks": f"with {LEGS} select day, (ord - 1) // 10 as line_no, string_agg(coalesce(nullif(collid, ''), name) || dir_out, ' ' order by ord) as line from vis group by all",
     "leg_totals": f"with {LEGS} select day, round(sum(round(length_m, 3)), 3) as survey_m, sum(length_m * 0 + 1) as survey_s, sum(dh_m) as deadhead_m, sum(dh_s) as deadhead_s, count(*) filter (where dh_m = 300) as jumps, count(*) filter (where flipped) as wrong_way from legs group by day",
