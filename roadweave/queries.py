@@ -21,15 +21,12 @@ from .plans.walk import Chain, Network, walk
 from .plans.engine import locked_state
 from .sinks.project import Project, route_features, state_features
 from .sources import kml, network, project
+from .sources.tables import read_table
 
 DEPOT = (39.7, -80.3)
 CONFIG = PlannerConfig()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def node(k):
     """The place of node k: a grid of 50 columns, a hundredth of a degree apart."""
     return geo.snap(F.lit(39.5) + (k % 50) * 0.01, F.lit(-80.5) + F.floor(k / 50) * 0.01)
@@ -37,7 +34,7 @@ def node(k):
 
 def raw_sections(spark, sf_dir) -> DataFrame:
     """Raw sections of orders: customer's node to another one; attributes from status and priority."""
-    o = table(spark, sf_dir, "orders")
+    o = read_table(spark, sf_dir, "orders")
     speed = F.element_at(F.array(*map(F.lit, ("25 mph", "50 km/h", "0", "walk", "80", "maxspeed: 45"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
     direction = F.element_at(F.array(*map(F.lit, ("I", "D", "B", "NB", ""))), F.substring("o_orderpriority", 1, 1).cast("int"))
     fields = F.map_from_arrays(
@@ -54,7 +51,7 @@ def sections(spark, sf_dir) -> DataFrame:
 
 def ways(spark, sf_dir) -> DataFrame:
     """Ways of parts: two grid nodes each, the class from p_size."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 1000 <> (p_partkey * 3 + 1) % 1000")
+    p = read_table(spark, sf_dir, "part").where("p_partkey % 1000 <> (p_partkey * 3 + 1) % 1000")
     classes = ("motorway", "primary", "secondary", "tertiary", "residential", "service", "unknown")
     highway = F.element_at(F.array(*map(F.lit, classes)), (F.col("p_size") % len(classes) + 1).cast("int"))
     speed = F.coalesce(network.highway_speed(highway), F.lit(CONFIG.default_speed_kmh))
@@ -63,27 +60,27 @@ def ways(spark, sf_dir) -> DataFrame:
 
 def points(spark, sf_dir) -> DataFrame:
     """Points of customers and of suppliers, the latter some metres aside."""
-    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("id"), node(F.col("c_custkey") % 1000).alias("p"))
-    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id"), F.col("s_suppkey").alias("k"), node(F.col("s_suppkey") % 1000).alias("q"))
+    c = read_table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("id"), node(F.col("c_custkey") % 1000).alias("p"))
+    s = read_table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id"), F.col("s_suppkey").alias("k"), node(F.col("s_suppkey") % 1000).alias("q"))
     return c.unionByName(s.select("id", geo.snap(F.col("q.lat") + (F.col("k") % 7) * 0.00003, F.col("q.lon") + (F.col("k") % 5) * 0.00004).alias("p")))
 
 
 def road_nodes(spark, sf_dir) -> DataFrame:
     """Nodes of suppliers, shifted by metres from the grid, every third far outside the cells."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), node(F.col("s_suppkey") % 1000).alias("q"))
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), node(F.col("s_suppkey") % 1000).alias("q"))
     shift = F.when(F.col("node_id") % 3 == 0, 0.003).otherwise(0.0002)
     return s.select("node_id", (F.col("q.lat") + shift).alias("lat"), F.col("q.lon").alias("lon"))
 
 
 def hop_rows(spark, sf_dir) -> DataFrame:
     """Directed edges of line items between 200 nodes: seconds by quantity, meters by price, numbered by all their values."""
-    x = table(spark, sf_dir, "lineitem")
+    x = read_table(spark, sf_dir, "lineitem")
     return x.select((F.col("l_suppkey") % 200).alias("src"), (F.col("l_partkey") % 200).alias("dst"), F.col("l_quantity").alias("seconds"), F.round("l_extendedprice", 2).alias("meters"), F.struct("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2)).alias("seen"))
 
 
 def legs(spark, sf_dir) -> DataFrame:
     """Legs of orders by customer: a chain of one section each, in order of o_orderkey."""
-    s = sections(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section_id"), "o_custkey"), "section_id")
+    s = sections(spark, sf_dir).join(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section_id"), "o_custkey"), "section_id")
     order = Window.partitionBy("o_custkey").orderBy("section_id")
     dead = (F.col("section_id") % 4) * 100.0
     return s.select(F.col("o_custkey").alias("day"), (F.row_number().over(order) - 1).cast("int").alias("leg_no"), F.col("section_id").alias("chain_id"), (F.col("section_id") % 2 == 1).alias("flipped"), dead.alias("dh_m"), (dead / 10.0).alias("dh_s"), "length_m")
@@ -99,7 +96,7 @@ def visited(spark, sf_dir) -> DataFrame:
 
 def runs(spark, sf_dir) -> DataFrame:
     """Chains of customers: centroid node and time."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chain_id"), F.array(node(F.col("c_custkey") % 1000), node((F.col("c_custkey") * 3 + 1) % 1000)).alias("coords"), (F.lit(60.0) + F.col("c_custkey") % 97).alias("time_s"), (F.lit(500.0) + F.col("c_custkey") % 89).alias("length_m"))
+    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chain_id"), F.array(node(F.col("c_custkey") % 1000), node((F.col("c_custkey") * 3 + 1) % 1000)).alias("coords"), (F.lit(60.0) + F.col("c_custkey") % 97).alias("time_s"), (F.lit(500.0) + F.col("c_custkey") % 89).alias("length_m"))
 
 
 # queries
@@ -152,7 +149,7 @@ def centroid(spark, sf_dir):
 
 def long_lines(spark, sf_dir):
     """Lines of customers: nodes of their orders in order, repeats included."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", node(F.floor(F.col("o_orderkey") / 2) % 1000).alias("p"))
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", node(F.floor(F.col("o_orderkey") / 2) % 1000).alias("p"))
     rows = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "p"))).alias("r"))
     return rows.select("o_custkey", F.transform("r", lambda x: x["p"]).alias("line"))
 
@@ -168,7 +165,7 @@ def hop_pairs(spark, sf_dir):
 
 def eav(spark, sf_dir):
     """(items, properties, values) of parts: brand, type and size as values, some blank."""
-    p = table(spark, sf_dir, "part")
+    p = read_table(spark, sf_dir, "part")
     items = p.select(F.lit("f").alias("file"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(3).alias("type"))
     properties = spark.createDataFrame([("f", 1, "Brand"), ("f", 2, "Type"), ("f", 3, "Size")], "file string, property_id long, name string")
     kinds = F.explode(F.array(F.struct(F.lit(1).cast("long").alias("property_id"), F.col("p_brand").alias("v")), F.struct(F.lit(2).cast("long").alias("property_id"), F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_type")).alias("v")), F.struct(F.lit(3).cast("long").alias("property_id"), F.col("p_size").cast("string").alias("v"))))
@@ -211,7 +208,7 @@ def nearest_way_speed(spark, sf_dir):
 
 
 def linked_customers(spark, sf_dir):
-    ends = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), node(F.col("c_custkey") % 1000).alias("p"))
+    ends = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), node(F.col("c_custkey") % 1000).alias("p"))
     return sp.nearest_node(ends, road_nodes(spark, sf_dir))
 
 
@@ -276,8 +273,8 @@ def undirected_closure(spark, sf_dir):
 
 
 def ring_union_distinct(spark, sf_dir):
-    a = network.tile_cover(table(spark, sf_dir, "customer").select(node(F.col("c_custkey") % 1000).alias("p")))
-    b = network.tile_cover(table(spark, sf_dir, "supplier").select(geo.snap(F.lit(40.2) + F.col("s_suppkey") * 0.001, F.lit(-80.1)).alias("p")))
+    a = network.tile_cover(read_table(spark, sf_dir, "customer").select(node(F.col("c_custkey") % 1000).alias("p")))
+    b = network.tile_cover(read_table(spark, sf_dir, "supplier").select(geo.snap(F.lit(40.2) + F.col("s_suppkey") * 0.001, F.lit(-80.1)).alias("p")))
     return a.unionByName(b).distinct().groupBy("tx").agg(F.count("*").alias("tiles"), F.min("ty").alias("low"), F.max("ty").alias("high"))
 
 
@@ -363,7 +360,7 @@ def filler_anti(spark, sf_dir):
 
 def nation_edges(spark, sf_dir):
     """Edges between nations: each to the two that follow it, weights by key, and back from every third."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     hop = F.explode(F.array(F.struct(((F.col("k") * 3 + 1) % 25).alias("dst"), (F.col("k") % 7 + 1.0).alias("w")), F.struct(((F.col("k") + 1) % 25).alias("dst"), (F.col("k") % 11 + 5.0).alias("w"))))
     e = n.select(F.col("k").alias("src"), hop.alias("h")).select("src", "h.dst", F.col("h.w").alias("seconds"), (F.col("h.w") * 10).alias("meters")).where("src <> dst")
     return g.cheapest_edges(e.withColumn("seen", F.col("meters")))
@@ -375,7 +372,7 @@ def nation_graph(spark, sf_dir) -> g.Csr:
 
 
 def shortest_paths_25(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"))
+    nodes = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"))
     paths = g.shortest_paths(nodes, set(range(25)), nation_graph(spark, sf_dir))
     return paths.select("source", "target", "seconds")
 
@@ -387,7 +384,7 @@ def greedy_walk_25(spark, sf_dir):
 
 
 def json_props(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long")["k"].alias("k"))
+    e = read_table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long")["k"].alias("k"))
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("highest"))
 
 
@@ -399,7 +396,7 @@ def raw_ways(spark, sf_dir):
     line = F.when(key % 13 == 0, F.array(at(key))).otherwise(F.array(at(key), at(key * 3 + 1)))
     tags = F.create_map(F.lit("highway"), pick(("motorway", "footway", "residential", "unknown")), F.lit("maxspeed"), pick(("", "25 mph", "80", "none", "0")), F.lit("oneway"), pick(("no", "yes", "-1", "true", "1", "maybe", "")), F.lit("area"), pick(("no", "no", "no", "yes", "no", "no", "no", "no", "no", "no", "no")))
     element = F.struct(F.when(key % 17 == 0, "node").otherwise("way").alias("type"), key.alias("id"), line.alias("geometry"), tags.alias("tags"))
-    answers = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("json"))
+    answers = read_table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("json"))
     found = network.ways_from_elements(network.parse_response(answers))
     return found.select("way_id", F.size("geometry").cast("long").alias("points"), F.round("speed_kmh", 4).alias("speed_kmh"), "oneway")
 
@@ -483,7 +480,7 @@ def chain_sections(spark, sf_dir):
 def sweep_solve(spark, sf_dir):
     """Days of the nations' chains from nation 0: sweep, solve, rebalance."""
     net = Network(nation_graph(spark, sf_dir), [(39.5 + (i % 5) * 0.01, -80.5 + i // 5 * 0.01) for i in range(25)], {i: Chain(i, i, i, 900.0 + 37 * i, 60.0 + i, True, (39.5 + (i % 5) * 0.01, -80.5 + i // 5 * 0.01)) for i in range(1, 25)}, 0)
-    chains = table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("chain_id"), F.array(geo.point(F.lit(39.5) + F.col("n_nationkey") % 5 * 0.01, F.lit(-80.5) + F.floor(F.col("n_nationkey") / 5) * 0.01)).alias("coords"), (F.col("n_nationkey") + 60.0).alias("time_s"))
+    chains = read_table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("chain_id"), F.array(geo.point(F.lit(39.5) + F.col("n_nationkey") % 5 * 0.01, F.lit(-80.5) + F.floor(F.col("n_nationkey") / 5) * 0.01)).alias("coords"), (F.col("n_nationkey") + 60.0).alias("time_s"))
     solved, _ = dy.plan_groups(spark, chains, (39.5, -80.5), 1000.0, spark.sparkContext.broadcast(net), 3)
     return dy.day_table(spark, solved).select("day", "runs", F.round("hours", 6).alias("hours"), F.round("total_mi", 6).alias("total_mi"), "jumps")
 
