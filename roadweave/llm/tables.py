@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 #: Bytes of text that the vectorised kernels handle at once; a longer text is one slice of its own.
 SLICE_BYTES = 1 << 19
 
@@ -23,7 +25,7 @@ ARROW_BYTES, ARROW_ROWS = 4 << 20, 2_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, sf_dir, table)
 
 
 def shared_dir(spark: SparkSession) -> str:
