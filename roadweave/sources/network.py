@@ -63,7 +63,7 @@ def cached_tiles(spark: SparkSession, folder: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], f"tx long, ty long, {CACHED}")
-    raw = spark.read.format("text").option("wholetext", True).load(folder, pathGlobFilter="tile_*.json")
+    raw = spark.read.format("text").options(wholetext=True, ignoreCorruptFiles=True).load(folder, pathGlobFilter="tile_*.json")
     name = F.split(F.regexp_extract(F.input_file_name(), r"tile_(-?\d+)_(-?\d+)\.json$", 0), r"[_.]")
     parsed = raw.select(name.alias("n"), F.from_json("value", CACHED).alias("tile")).where("tile.ways is not null")
     return parsed.select(F.try_element_at("n", F.lit(2)).cast("long").alias("tx"), F.try_element_at("n", F.lit(3)).cast("long").alias("ty"), "tile.ways")
@@ -161,7 +161,8 @@ def fetch_tiles(tiles: DataFrame, fetch: Fetcher, final: Fetcher | None = None,
             for tx, ty in zip(pdf["tx"], pdf["ty"], strict=True):
                 box = (tx * config.tile_deg, ty * config.tile_deg, (tx + 1) * config.tile_deg, (ty + 1) * config.tile_deg)
                 found = [{"type": e.get("type"), "id": e.get("id"), "geometry": e.get("geometry"), "tags": e.get("tags")} for e in fetch_quarters(fetch, final or getattr(fetch, "patient", fetch), box)]
-                yield pd.DataFrame({"tx": [tx] * len(found), "ty": [ty] * len(found), "element": found})
+                if found:
+                    yield pd.DataFrame({"tx": [tx] * len(found), "ty": [ty] * len(found), "element": found})
 
     return tiles.repartition("tx", "ty").mapInPandas(run, schema)
 
