@@ -297,3 +297,24 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     for wrong in (["route", given, "--start", "here"], ["days", given], []):
         with pytest.raises(SystemExit):
             cli.run(spark, wrong)
+
+
+def test_data_sources(spark, tmp_path):
+    from roadweave.sinks.project import Project
+    from roadweave.sources.datasource import register
+
+    register(spark)
+    kml_file(tmp_path / "in.kml", spokes(3))
+    rows = spark.read.format("roadweave_kml").load(str(tmp_path / "in.kml"))
+    assert sections_names(kml.sections_of(rows)) == ["100", "101", "102"]
+    own = Project("t")
+    own.add_line("a", [(1.0, 1.0), (1.0, 2.0)], {"CollId": "7", "Dir": "I"})
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "one.mpz").write_bytes(own.content())
+    read = lambda table: spark.read.format("roadweave_project").option("table", table).load(f"file://{tmp_path}/p")
+    sections = project.sections_of_tables(read("items"), read("shapes"), read("properties"), read("property_values"))
+    assert sections_names(sections) == ["7"]
+
+
+def sections_names(sections):
+    return [r["name"] for r in sections.orderBy("section_id").collect()]
