@@ -1,7 +1,9 @@
 """Corpus pipeline over ``documents``: toxicity, near duplicates, repeated passages, benchmark leaks, source mixture.
 
-Each stage takes (spark, docs, sf_dir) and returns the rows it keeps; a null or empty text is kept by all stages but
-the mixture, which has no words to take from it.
+Each stage takes (spark, docs, sf_dir) and returns the rows it keeps, all but the last with the columns of ``docs`` as they
+are: columns besides doc_id, text and source may have any names. A null or empty text is kept by all stages but the
+mixture, which has no words to take from it. An empty table of documents gives none; without labels no document is
+toxic and all weigh the same, without benchmark items none leaks. Very long texts are read in pieces by every operator.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that operator 5 predicts 0."""
+    """Rows that operator 5 predicts 0, those without doc_id too; repeated rows stay or go together."""
     return without_toxic(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -44,17 +46,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words or more that a document of a smaller doc_id has (operator 7)."""
+    """Texts without the passages of 50 words or more that a document of a smaller doc_id has (operator 7).
+
+    n_chars follows a cut text, one left without words goes; rows without doc_id stay as they are.
+    """
     return without_repeats(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item (operator 6)."""
+    """Rows that hold no benchmark item (operator 6); rows without doc_id stay, those that share one stay or go together."""
     return _without(docs, benchmark_leaks(docs, read(spark, sf_dir, "benchmark"), short_items=True).select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that operator 2 takes, with the words it takes of each (whole copies, up to three)."""
+    """The documents that operator 2 takes, with the words it takes of each (whole copies, up to three); its columns, not those of ``docs``."""
     return mix_to_targets(docs, read(spark, sf_dir, "labels")).where("taken > 0")
 
 
