@@ -117,8 +117,8 @@ class PartEnum:
         return np.concatenate(out)
 
     def sketch_bits(self, s: int) -> int:
-        """A power of two, some 4 bits for each shingle that may differ; longer sketches fold to shorter ones."""
-        return 1 << max(6, int(4 * self.distance(self.bands[self.band(self.largest_partner(s)) + 1]) - 1).bit_length())
+        """A power of two, 2.5 to 5 bits for each shingle that may differ, as unequal sets differ in half of them; longer sketches fold to shorter ones."""
+        return 1 << max(6, int(2.5 * self.distance(self.bands[self.band(self.largest_partner(s)) + 1]) - 1).bit_length())
 
     def sketch(self, elements: np.ndarray) -> bytes:
         """Parity of the elements that fall on each bit."""
@@ -231,20 +231,20 @@ def _groups(batches, keys: list[str], columns: list[str]):
         yield held
 
 
-TIES = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+def _ties(found: list[tuple[np.ndarray, ...]], *names: str):
+    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=list(names))
 
 
-def _ties(found: list[tuple[np.ndarray, np.ndarray]]):
-    node, root = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], schema=TIES)
+_NEAR = "sig long, node long, root long"
 
 
 def _near(scheme: PartEnum):
-    """Classes of one signature block (sig, bi, bj, h1, n, sketch) that may link: (node, root)."""
+    """Classes of one signature block (sig, bi, bj, h1, n, sketch) that may link: (sig, node, root)."""
 
     def run(batches):
         found, held = [], 0
-        for h1, n, sketches in _groups(batches, ["sig", "bi", "bj"], ["h1", "n", "sketch"]):
+        for sig, h1, n, sketches in _groups(batches, ["sig", "bi", "bj"], ["sig", "h1", "n", "sketch"]):
             if len(h1) < 2:
                 continue
             order = np.argsort(h1)
@@ -256,13 +256,13 @@ def _near(scheme: PartEnum):
             root = smallest_reached(~scheme.apart(n, apart))
             tied = np.flatnonzero(root != np.arange(len(h1)))
             if len(tied):
-                found.append((h1[tied], h1[root[tied]]))
+                found.append((np.full(len(tied), sig[0]), h1[tied], h1[root[tied]]))
                 held += len(tied)
             if held >= 20_000:
-                yield _ties(found)
+                yield _ties(found, "sig", "node", "root")
                 found, held = [], 0
         if found:
-            yield _ties(found)
+            yield _ties(found, "sig", "node", "root")
 
     return run
 
@@ -290,7 +290,7 @@ def _linked(words: int, scheme: PartEnum):
                 bits[row[part], at[part] - first] = True
                 distances(np.packbits(bits, axis=1).view(np.uint64), apart)
             root = smallest_reached(~scheme.apart(n, apart))
-            yield _ties([(ids, ids[root])])
+            yield _ties([(ids, ids[root])], "node", "root")
 
     return run
 
@@ -323,16 +323,16 @@ class _Join:
         self.docs, self.base, self.reps, self.words, self.scheme = docs, base, reps, words, scheme
 
     def near(self, hits: DataFrame) -> DataFrame:
-        """(node, root) of h1: classes that share a signature (sig, h1) and whose sketches do not exclude a link."""
+        """(sig, node, root) of h1: classes that share a signature (sig, h1) and whose sketches do not exclude a link."""
         wanted = hits.select("h1").distinct()
         sketches = self.base.where("n > 0").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
         met = _paired(hits.select("sig", "h1"), "sig", _blocks(hits, "sig", SIGNATURE_BLOCK)).join(stored(sketches, "sketches"), "h1")
         met = met.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
-        return mapped(met.select("sig", "bi", "bj", "h1", "n", "sketch"), _near(self.scheme), "node long, root long").distinct()
+        return mapped(met.select("sig", "bi", "bj", "h1", "n", "sketch"), _near(self.scheme), _NEAR)
 
     def clusters(self, near: DataFrame) -> DataFrame:
         """(cluster, h1, h2, id, n, rep, t): the classes of the components of ``near``."""
-        found = components(stored(near, "near"), "node", "root").withColumnsRenamed({"node": "h1", "root": "cluster"})
+        found = components(near, "node", "root").withColumnsRenamed({"node": "h1", "root": "cluster"})
         return stored(found.join(self.reps, "h1"), "clusters")
 
     def ties(self, clusters: DataFrame, deal, blocks: DataFrame) -> DataFrame:
@@ -342,12 +342,8 @@ class _Join:
         met = deal(texts.dropDuplicates(["id"]), few(blocks, BROADCAST_IDS)).repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
         return stored(mapped(met.select("cluster", "bi", "bj", "h1", "h2", "id", "text"), _linked(self.words, self.scheme), "node long, root long").distinct(), "ties")
 
-    def unlinked(self, clusters: DataFrame, blocks: DataFrame, ties: DataFrame) -> DataFrame:
-        """h1 of the classes that the blocks left apart from most of their cluster; none where all classes of a cluster met in one block."""
-        split = clusters.join(few(blocks.where("blocks > 1").select("cluster"), BROADCAST_IDS), "cluster", "left_semi").select("cluster", "h1", "id")
-        if not split.limit(1).count():
-            return split.select("h1")
-        labels = components(ties, "node", "root")
+    def unlinked(self, split: DataFrame, labels: DataFrame) -> DataFrame:
+        """h1 of the classes (cluster, h1, id) of clusters of several blocks that stand apart from most of theirs by ``labels`` (node, root)."""
         known = stored(split.join(labels, F.col("id") == F.col("node"), "left").select("cluster", "h1", F.coalesce("root", "id").alias("label")), "labels")
         sizes = known.groupBy("cluster", "label").agg(F.count("*").alias("n"))
         largest = stored(sizes.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("cluster", "most.label"), "largest")
@@ -377,7 +373,7 @@ def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, sch
     copies = stored(copies.distinct(), "copies")
     signing = docs.join(few(copies, BROADCAST_IDS), "doc_id", "left_anti")
     rows = mapped(signing.select("text"), _signatures(words, scheme), "sig long, h1 long")
-    shared = stored(rows.groupBy("sig").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("sig"), "shared")
+    shared = stored(rows.groupBy("sig").count().where("count > 1").select("sig"), "shared")
     met = stored(rows.join(shared, "sig").distinct(), "met")
     # signatures of the same classes are alike; near copies share many, of which one is enough
     part = F.lit(1 << 31)
@@ -386,21 +382,24 @@ def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, sch
     hits = stored(met.join(stored(enough, "enough"), "sig"), "hits")
     dropped(shared, met, copies)
     # the classes of a much shared signature are candidates of each other without a look at their sketches
-    near = join.near(hits.where(F.col("members") <= SIGNATURE_BLOCK)).unionByName(hits.where(F.col("members") > SIGNATURE_BLOCK).select(F.col("h1").alias("node"), F.col("least").alias("root")).where("node <> root"))
+    unseen = hits.where(F.col("members") > SIGNATURE_BLOCK).select("sig", F.col("h1").alias("node"), F.col("least").alias("root"))
+    near = stored(join.near(hits.where(F.col("members") <= SIGNATURE_BLOCK)).unionByName(unseen.where("node <> root")), "near")
     clusters = join.clusters(near)
     blocks = _blocks(clusters, "cluster", TEXT_BLOCK, "n", BLOCK_SHINGLES)
     ties = join.ties(clusters, _with_pivot, blocks)
-    left = join.unlinked(clusters, blocks, ties)
-    if left.limit(1).count():  # what shares a signature with them meets block by block
-        again = hits.join(stored(hits.join(left, "h1", "left_semi").select("sig").distinct(), "signatures"), "sig", "left_semi")
-        clusters = join.clusters(join.near(stored(again, "again")))
-        ties = ties.unionByName(join.ties(clusters, lambda texts, dealt: _paired(texts, "cluster", dealt), _blocks(clusters, "cluster", TEXT_BLOCK, "n", BLOCK_SHINGLES)))
-    # classes of one block have one root; those of several have one in each of theirs
-    several = ties.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    roots = ties.groupBy("node").agg(F.min("root").alias("label"))
+    # classes that met in one block have one root there; the others have one in each of their blocks
+    roots = ties.groupBy("node").agg(F.min("root").alias("root"))
+    several = blocks.where("blocks > 1").select("cluster")
     if several.limit(1).count():
-        roots = components(ties, "node", "root").withColumnRenamed("root", "label")
-    known = reps.select("h1", "h2", "id", "rep").join(roots.withColumnRenamed("node", "id"), "id")
+        roots = stored(components(ties, "node", "root"), "roots")
+        left = join.unlinked(clusters.join(few(several, BROADCAST_IDS), "cluster", "left_semi").select("cluster", "h1", "id"), roots)
+        if left.limit(1).count():  # what shares a signature with them, one that ties any of its classes, meets block by block
+            tied = hits.join(left, "h1", "left_semi").select("sig").distinct().join(near.select("sig").distinct(), "sig", "left_semi")
+            again = stored(hits.join(stored(tied, "tied"), "sig", "left_semi"), "again")
+            clusters = join.clusters(stored(join.near(again), "near"))
+            more = join.ties(clusters, lambda texts, dealt: _paired(texts, "cluster", dealt), _blocks(clusters, "cluster", TEXT_BLOCK, "n", BLOCK_SHINGLES))
+            roots = stored(components(roots.unionByName(more), "node", "root"), "roots")
+    known = reps.select("h1", "h2", "id", "rep").join(roots.withColumnsRenamed({"node": "id", "root": "label"}), "id")
     lowest = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = stored(known.join(lowest, "label").select("h1", "h2", "component_id"), "components")
     own = reps.select("h1", "h2", "rep").join(found, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
