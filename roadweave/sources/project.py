@@ -65,7 +65,7 @@ def project_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
 def pivot_fields(values: DataFrame, properties: DataFrame) -> DataFrame:
     """(file, item_id, fields): readable, non-blank values by lower-case property name; the larger property id of equal names counts."""
     text = F.btrim(F.try_validate_utf8(F.col("value").cast("string")))
-    few = properties.limit(BROADCAST_PROPERTIES + 1).count() <= BROADCAST_PROPERTIES
+    few = properties.count() <= BROADCAST_PROPERTIES
     named = values.join(F.broadcast(properties) if few else properties, ["file", "property_id"]).withColumn("text", text).where("text is not null and text <> ''")
     one = named.groupBy("file", "item_id", F.lower("name").alias("key")).agg(F.max_by("text", "property_id").alias("text"))
     return one.groupBy("file", "item_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "text")))).alias("fields"))
