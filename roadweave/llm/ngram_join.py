@@ -6,11 +6,13 @@ deals the feature domain to ``groups * n2`` partitions: k differences cannot spo
 (more than k2 in) every one of ``k // (k2 + 1) + 1`` groups, so in some group a choice of
 ``n2 - k2`` partitions is equal in both sets and gives both the same signature. Sets of
 one size band share the partitioning; a set near a band's upper end also signs for the
-next band. A set emits only as many groups as its own size can need, plus spare ones:
-then signatures over empty partitions are needed only where there are more of them than
-the spare groups of the smallest set that it may link to, which keeps unrelated sets from
-meeting in "both are empty". (A pair shares more groups than its differences and the
-smaller set's spare ones can take, so either a full one stays or both sign the empty ones.)
+next band. A set emits only as many groups as its own size can need, plus spare ones.
+A pair shares more groups than the smaller set has spare ones, so one of them is full if
+either set has no more empty partitions than that. A set that has more is dealt again
+with other hashes, as any set like it is that it may link to, until it has fewer:
+signatures over empty partitions, in which unrelated sets meet, are left to the last
+deal. What a set has fewer, its slack, is what a pair shares beyond one: so many of its
+most frequent signatures are left out.
 
 Every pair at the threshold shares a signature (no recall loss). Copies of one set are
 one class. Within a signature classes are compared by parity sketches, whose differing
@@ -43,6 +45,8 @@ from .words import PIECE_BYTES, U64, mix, shingle_sets, summed
 BROADCAST_IDS = 500_000
 #: Classes of one signature, and texts of one cluster, meet in blocks of about so many; a block of texts has about so many shingles.
 SIGNATURE_BLOCK, TEXT_BLOCK, BLOCK_SHINGLES = 1000, 300, 400_000
+#: Times that a set with many empty partitions is dealt to them at most; one in some dozens is dealt twice.
+DEALS = 8
 _ODD = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 
 
@@ -74,7 +78,8 @@ class PartEnum:
         return (s + self.largest_partner(s)) * (100 - self.percent) // (100 + self.percent)
 
     def spare(self, s: int) -> int:
-        return 2 + math.ceil(2.5 * self.empty * self.distance(s))
+        expected = self.empty * self.distance(s)
+        return 2 + max(math.ceil(2.5 * expected), round(4 * expected))
 
     def groups(self, s: int) -> int:
         return self.distance(s) // (self.k2 + 1) + 1 + self.spare(s)
@@ -86,35 +91,49 @@ class PartEnum:
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """Signatures of one set of 64-bit elements; none for sets that can only equal others."""
+        return np.concatenate([np.zeros(0, U64), *(sigs for _, _, sigs, _ in self.lists(elements))])
+
+    def lists(self, elements: np.ndarray):
+        """(band, deal, signatures, slack) of a set: in one list that both have, sets that may link share more signatures than the slack of either."""
         s = len(elements)
         if s < self.least:
-            return np.zeros(0, U64)
+            return
         own = self.band(s)
-        instances = [own]
+        # of the pairs that meet in the next band it is the smaller set
+        instances = [(own, self.spare(self.smallest_partner(s)))]
         if self.band(self.largest_partner(s)) > own:
-            instances.append(own + 1)
-        out = []
-        for inst in instances:
-            total = self.groups(self.bands[inst + 1])
-            need = self.groups(s)
-            acc, some = np.zeros(need * self.n2, U64), np.zeros(need * self.n2, bool)
-            for lo in range(0, s, PIECE_BYTES):
-                salted = mix(elements[lo : lo + PIECE_BYTES] ^ _ODD[inst % 64])
-                at = ((salted >> U64(32)) * U64(total * self.n2)) >> U64(32)
-                keep = at < need * self.n2
-                at, value = at[keep].astype(np.int64), mix(salted[keep] + U64(inst + 1))
-                np.add.at(acc, at, value)
-                some[at] = True
-            acc, some = acc.reshape(need, self.n2), some.reshape(need, self.n2)
-            tags = (np.arange(need, dtype=U64) << U64(16)) + U64(inst)
-            sigs, full = [], []
-            for c, choice in enumerate(self.choices):
-                cols = list(choice)
-                sigs.append(mix((acc[:, cols] * _ODD[cols]).sum(1, dtype=U64) ^ mix(tags * _ODD[63] + U64(c))))
-                full.append(some[:, cols].any(1))
-            sigs, full = np.stack(sigs, 1), np.stack(full, 1)
-            out.append(sigs[full] if (~full).sum() <= self.spare(self.smallest_partner(s)) else sigs.ravel())
-        return np.concatenate(out)
+            instances.append((own + 1, self.spare(s)))
+        for inst, spare in instances:
+            for deal in range(DEALS):
+                sigs, full = self._dealt(elements, inst, deal)
+                slack = spare - int((~full).sum())
+                if slack >= 0 or deal + 1 < DEALS:
+                    yield inst, deal, sigs[full], max(0, slack)
+                else:
+                    yield inst, deal, sigs.ravel(), 0
+                if slack >= 0:
+                    break
+
+    def _dealt(self, elements: np.ndarray, inst: int, deal: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of one deal by group and choice, and which of them are over a partition that isn't empty."""
+        total, need = self.groups(self.bands[inst + 1]), self.groups(len(elements))
+        salt = _ODD[inst % 64] ^ (mix(np.array([deal], U64))[0] if deal else U64(0))
+        acc, some = np.zeros(need * self.n2, U64), np.zeros(need * self.n2, bool)
+        for lo in range(0, len(elements), PIECE_BYTES):
+            salted = mix(elements[lo : lo + PIECE_BYTES] ^ salt)
+            at = ((salted >> U64(32)) * U64(total * self.n2)) >> U64(32)
+            keep = at < need * self.n2
+            at, value = at[keep].astype(np.int64), mix(salted[keep] + U64(inst + 1))
+            np.add.at(acc, at, value)
+            some[at] = True
+        acc, some = acc.reshape(need, self.n2), some.reshape(need, self.n2)
+        tags = (np.arange(need, dtype=U64) << U64(16)) + U64(inst) + (U64(deal) << U64(56))
+        sigs, full = [], []
+        for c, choice in enumerate(self.choices):
+            cols = list(choice)
+            sigs.append(mix((acc[:, cols] * _ODD[cols]).sum(1, dtype=U64) ^ mix(tags * _ODD[63] + U64(c))))
+            full.append(some[:, cols].any(1))
+        return np.stack(sigs, 1), np.stack(full, 1)
 
     def sketch_bits(self, s: int) -> int:
         """A power of two, 2.5 to 5 bits for each shingle that may differ, as unequal sets differ in half of them; longer sketches fold to shorter ones."""
@@ -197,19 +216,32 @@ def _sets(words: int, scheme: PartEnum):
 
 
 def _signatures(words: int, scheme: PartEnum):
-    schema = pa.schema([("sig", pa.int64()), ("h1", pa.int64())])
+    """(sig, h1, list): ``list`` has the slack of the signature's list above 8 bits for its deal and band."""
+    schema = pa.schema([("sig", pa.int64()), ("h1", pa.int64()), ("list", pa.int32())])
 
     def run(batches):
         for batch in batches:
             for _, sets in _rows(batch, words):
-                sigs = [scheme.signatures(u) for u in sets]
-                ids = np.repeat(np.array([_identity(u) for u in sets], np.int64), [len(s) for s in sigs])
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(ids)], schema=schema)
+                found = [(_identity(u), (slack << 8) + 2 * deal + band % 2, sigs) for u in sets for band, deal, sigs, slack in scheme.lists(u)]
+                if found:
+                    ids, lists, sigs = zip(*found, strict=True)
+                    n = [len(x) for x in sigs]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(lists, np.int32), n))], schema=schema)
 
     return run
 
 
+def _rarest(met: DataFrame) -> DataFrame:
+    """(sig, h1) of ``met`` (sig, h1, list, count) without the most frequent signatures of each list, as many as its slack.
+
+    Of the signatures that two linked sets share, more than either one's slack, the rarest stays in both: all the others
+    come after it in either list.
+    """
+    order = Window.partitionBy("h1", "list").orderBy(F.desc("count"), "sig")
+    ranked = met.repartition("h1").distinct().withColumn("_rank", F.row_number().over(order))
+    return ranked.where("_rank > shiftright(list, 8)").select("sig", "h1").distinct()
+
+
 def _groups(batches, keys: list[str], columns: list[str]):
     """Lists of column values of each run of equal keys in sorted rows; a run may cross batches."""
     last, held = None, [[] for _ in columns]
@@ -372,13 +404,13 @@ def ngram_jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, sch
     copies = base.select("doc_id").where("doc_id is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     copies = stored(copies.distinct(), "copies")
     signing = docs.join(few(copies, BROADCAST_IDS), "doc_id", "left_anti")
-    rows = mapped(signing.select("text"), _signatures(words, scheme), "sig long, h1 long")
-    shared = stored(rows.groupBy("sig").count().where("count > 1").select("sig"), "shared")
-    met = stored(rows.join(shared, "sig").distinct(), "met")
+    rows = mapped(signing.select("text"), _signatures(words, scheme), "sig long, h1 long, list int")
+    shared = stored(rows.groupBy("sig").count().where("count > 1"), "shared")
+    met = stored(_rarest(rows.join(shared, "sig")), "met")
     # signatures of the same classes are alike; near copies share many, of which one is enough
     part = F.lit(1 << 31)
     alike = {"least": F.min("h1"), "members": F.count("*"), "s1": F.sum(F.pmod(F.xxhash64("h1"), part)), "s2": F.sum(F.pmod(F.xxhash64("h1", F.lit(1)), part))}
-    enough = met.groupBy("sig").agg(*(x.alias(k) for k, x in alike.items())).groupBy(*alike).agg(F.min("sig").alias("sig")).select("sig", "members", "least")
+    enough = met.groupBy("sig").agg(*(x.alias(k) for k, x in alike.items())).where("members > 1").groupBy(*alike).agg(F.min("sig").alias("sig")).select("sig", "members", "least")
     hits = stored(met.join(stored(enough, "enough"), "sig"), "hits")
     dropped(shared, met, copies)
     # the classes of a much shared signature are candidates of each other without a look at their sketches

@@ -156,6 +156,41 @@ def test_partenum_keeps_contained_pairs(args):
                 assert set(scheme.signatures(np.sort(a)).tolist()) & set(scheme.signatures(np.sort(b)).tolist()), (args, a_size, b_size, inside)
 
 
+@pytest.mark.parametrize("size", [100, 170, 330, 396])
+def test_unrelated_sets_share_no_signature(size):
+    """Sets without a common element don't meet in partitions that are empty in both, however many they are."""
+    scheme, rng = PartEnum(80, k2=0, n2=1), np.random.default_rng(3)
+    seen = np.concatenate([np.unique(scheme.signatures(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)))) for _ in range(300)])
+    assert np.unique(seen, return_counts=True)[1].max() == 1
+
+
+def test_rarest_signatures_hold_every_link(spark):
+    """Many sets hold the same few elements: links keep a signature, and fewer sets meet in the common ones."""
+    scheme, rng = PartEnum(80, k2=0, n2=1), np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    common, links, sets = pool[:40], [], {}
+    for i in range(400):
+        size = int(rng.integers(60, 200))
+        own = np.concatenate([common[rng.random(40) < 0.5], pool[40 + i * 400 : 40 + i * 400 + size]])
+        sets[2 * i] = np.unique(own)
+        if i < 150:  # as far apart as a link may be
+            cut = int(rng.integers(0, len(own) // 9))
+            kept, more = rng.permutation(own)[cut:], len(own) // 4 - 2 * cut
+            sets[2 * i + 1] = np.unique(np.concatenate([kept, pool[40 + i * 400 + 250 : 40 + i * 400 + 250 + max(0, more)]]))
+            both, all_ = len(np.intersect1d(sets[2 * i], sets[2 * i + 1])), len(np.union1d(sets[2 * i], sets[2 * i + 1]))
+            if 100 * both >= 80 * all_:
+                links.append((2 * i, 2 * i + 1))
+    rows = [(int(sig), h1, (slack << 8) + 2 * deal + band % 2) for h1, u in sets.items() for band, deal, sigs, slack in scheme.lists(u) for sig in sigs.view(np.int64)]
+    rows = spark.createDataFrame(rows, "sig long, h1 long, list int")
+    counts = rows.groupBy("sig").count().where("count > 1")
+    left = defaultdict(set)
+    for r in ngram_join._rarest(rows.join(counts, "sig")).collect():
+        left[r["h1"]].add(r["sig"])
+    assert len(links) > 60 and all(left[a] & left[b] for a, b in links)
+    most = lambda found: max(Counter(found).values())
+    assert most(s for x in left.values() for s in x) < most(r["sig"] for r in rows.select("sig").collect()) / 2
+
+
 def test_large_cluster_is_dealt_once(spark):
     rows = spark.range(20_000).select(F.lit(0).cast("long").alias("cluster"), F.col("id").alias("h1"))
     blocks = ngram_join._blocks(rows, "cluster", ngram_join.TEXT_BLOCK)
